@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, quality_rules
+from tessera.llm import exact_dedup, mixing, quality_rules
 from tessera.session import read_table
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.fit(docs, read_table(spark, sf_dir, "labels"))
     judged = quality_rules.judge(docs, rules)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read_table(spark, sf_dir, "documents"))
