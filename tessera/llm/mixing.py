@@ -98,7 +98,8 @@ def land(p: list[float], x: list[float]) -> None:
 
 def _flight(level: int, last: bool):
     def flight(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="first").reset_index(drop=True)
+        # The largest fly first, so that the few units left undecided are small.
+        pdf = pdf.sort_values(["size", "doc_id", "rows"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
         source = pdf["source"].iat[0]
         seed = hashlib.sha256(repr((None if pd.isna(source) else source, int(pdf["part"].iat[0]), level)).encode()).digest()
         p, x = pdf["p"].tolist(), (pdf["size"] * pdf["rows"]).astype(float).tolist()
