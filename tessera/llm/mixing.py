@@ -87,25 +87,32 @@ def fly(p: list[float], x: list[float], rng: random.Random) -> None:
         active = [k for k in active if 0 < p[k] < 1]
 
 
-def land(p: list[float], x: list[float]) -> None:
-    """Decide the few units left: nearest in words, then in documents."""
+def land(p: list[float], x: list[float], goal: float) -> None:
+    """Decide the few units left (nearest to ``goal`` words, then in documents), then mend what
+    they are off by: units are flipped, the largest that fits first, while that comes nearer."""
     left = [i for i, v in enumerate(p) if 0 < v < 1]
-    words, units = sum(p[i] * x[i] for i in left), sum(p[i] for i in left)
-    best = min(itertools.product((0, 1), repeat=len(left)), key=lambda t: (round(abs(sum(a * x[i] for a, i in zip(t, left)) - words), 6), abs(sum(t) - units), t))
+    fixed = sum(v * w for i, (v, w) in enumerate(zip(p, x)) if not 0 < v < 1)
+    units = sum(p[i] for i in left)
+    best = min(itertools.product((0, 1), repeat=len(left)), key=lambda t: (round(abs(fixed + sum(a * x[i] for a, i in zip(t, left)) - goal), 6), abs(sum(t) - units), t))
     for a, i in zip(best, left):
         p[i] = a
+    off = goal - sum(v * w for v, w in zip(p, x))
+    for i in sorted(range(len(p)), key=lambda i: (-x[i], i)):
+        if 0 < x[i] and abs(off) > 0.5 and p[i] == (0 if off > 0 else 1) and x[i] <= abs(off):
+            p[i] = 1 - p[i]
+            off += x[i] if p[i] == 0 else -x[i]
 
 
 def _flight(level: int, last: bool):
     def flight(pdf: pd.DataFrame) -> pd.DataFrame:
-        # The largest fly first, so that the few units left undecided are small.
         pdf = pdf.sort_values(["size", "doc_id", "rows"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
         source = pdf["source"].iat[0]
         seed = hashlib.sha256(repr((None if pd.isna(source) else source, int(pdf["part"].iat[0]), level)).encode()).digest()
         p, x = pdf["p"].tolist(), (pdf["size"] * pdf["rows"]).astype(float).tolist()
+        goal = sum(a * b for a, b in zip(p, x))
         fly(p, x, random.Random(seed))
         if last:
-            land(p, x)
+            land(p, x, goal)
         return pdf.assign(p=[float(v) for v in p])
 
     return flight
