@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, quality_rules, substring_dedup
+from tessera.llm import exact_dedup, mixing, quality_rules, substring_dedup, token_files
 from tessera.session import read_table
 
+#: Folder of the public vocabularies, used where the package that names them isn't installed.
+TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,3 +56,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return os.path.join(TOKENIZERS, name)
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
