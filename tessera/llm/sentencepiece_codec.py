@@ -20,7 +20,9 @@ cut there (before spaces, around line ends) and the ids of short segments are re
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,12 @@ from tessera.llm.kernel import slices, strings
 
 SPACE = "▁"
 #: Remembered segments, parts between spaces, and pairs of a worker, at most; then it starts afresh.
-CACHE = 200_000
+CACHE = 250_000
 PAIR_CACHE = 500_000
+PREFIX_CACHE = 1_200_000
 #: Characters between two looks for a common boundary, and of the longest remembered segment.
 STEP = 64
+_RUNS = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|[^\w{SPACE}]+|[\d_]+|.", re.S)
 
 
 class Model:
@@ -63,17 +67,24 @@ class Model:
                     self.id[p], self.score[p] = i, sp.get_score(i)
         self.longest = max(map(len, self.id), default=1)
         self.dummy_prefix = sp.encode("a", out_type=str)[0].startswith(SPACE)
+        self.plain = self.dummy_prefix and not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         kind = _model_type(sp)
         self.bpe = kind == 2
         self.least = min(self.score.values(), default=0.0) - 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.segments: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        self.lasts: dict[str, str] = {}
         self.parts: dict[str, bytes] = {}
         if self.bpe:  # a piece that merges never make can't be on a path
-            self.reachable = {p for p in self.id if self.merge(p) == [p]}
+            self.reachable = {p: p for p in self.id if self.merge(p) == [p]}
         else:
-            self.reachable = set(self.id)
+            self.reachable = {p: p for p in self.id}
+        self.tuples = {p: (i,) for p, i in self.id.items()}
+        self.longest_to: dict[str, int] = {}  # by a piece's last two characters
+        for p in self.reachable:
+            if len(p) > 1:
+                self.longest_to[p[-2:]] = max(len(p), self.longest_to.get(p[-2:], 0))
 
     def forced(self, a: str, b: str) -> bool:
         """Whether every path has a boundary between these characters."""
@@ -97,65 +108,90 @@ class Model:
         """BPE: whether two pieces in a row encode to themselves."""
         if a[-1] + b[0] not in self.inner:
             return True
-        ok = self.pairs.get((a, b))
+        after = self.pairs.get(a)
+        if after is None:
+            after = self.pairs[a] = {}
+        ok = after.get(b)
         if ok is None:
-            if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+            if self.n_pairs >= PAIR_CACHE:
+                self.pairs, self.n_pairs = {}, 0
+            self.n_pairs += 1
+            ok = after[b] = self.merge(a + b) == [a, b]
         return ok
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
-        i = self.id.get(piece)
-        return (i,) if i is not None else tuple(self.byte_id[b] for b in piece.encode())
+        ids = self.tuples.get(piece)
+        return tuple(self.byte_id[b] for b in piece.encode()) if ids is None else ids
 
-    def encode_part(self, part: str) -> tuple[int, ...]:
-        """Ids of a piece of text that begins and ends at forced boundaries."""
+    def encode_part(self, part: str) -> bytes:
+        """Ids (4 bytes each) of a piece of text that begins and ends at forced boundaries."""
         if len(part) > STEP:
             search = Search(self)
             out: list[int] = []
             for a in range(0, len(part), STEP):
                 out += search.push(part[a : a + STEP])
-            return tuple(out + search.finish())
-        ids = self.segments.get(part)
-        if ids is None:
-            if len(self.segments) >= CACHE:
-                self.segments.clear()
+            return np.array(out + search.finish(), "<i4").tobytes()
+        if not self.bpe:
             search = Search(self)
-            ids = self.segments[part] = tuple([*search.push(part), *search.finish()])
-        return ids
+            return np.array([*search.push(part), *search.finish()], "<i4").tobytes()
+        # The last piece of the path to a prefix depends on that prefix alone: it is remembered,
+        # so a new word is searched from where it parts from the words before.
+        lasts = self.lasts
+        end = len(part)
+        if part not in lasts:
+            if len(lasts) >= PREFIX_CACHE:
+                lasts.clear()
+            k = end - 1
+            while k and part[:k] not in lasts:
+                k -= 1
+            reachable, longest_to = self.reachable, self.longest_to
+            for j in range(k + 1, end + 1):
+                for i in range(max(0, j - longest_to.get(part[j - 2 : j], 1)) if j > 1 else 0, j):
+                    p = part[i:j]
+                    if j - i > 1 and p not in reachable:
+                        continue
+                    if i == 0 or self.fits(lasts[part[:i]], p):
+                        lasts[part[:j]] = reachable.get(p, p)
+                        break
+        out: tuple[int, ...] = ()
+        while end:
+            p = lasts[part[:end]]
+            out = self.ids_of(p) + out
+            end -= len(p)
+        return struct.pack(f"<{len(out)}i", *out)
 
     def _segments(self, escaped: str) -> list[str]:
-        """Cut before each run of spaces and around line ends, where those boundaries are forced."""
-        out = []
-        for x in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", escaped):
-            out += [y for y in re.split("(\n)", x) if y]
-        merged: list[str] = []
-        for x in out:
-            if merged and not self.forced(merged[-1][-1], x[0]):
-                merged[-1] += x
+        """Cut between letters, other characters and spaces, where those boundaries are forced."""
+        inner = self.inner
+        out: list[str] = []
+        for x in _RUNS.findall(escaped):
+            if out and out[-1][-1] + x[0] in inner:
+                out[-1] += x
             else:
-                merged.append(x)
-        return merged
+                out.append(x)
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of any text; of the empty text, none."""
+    def _encode(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
         escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        return [i for s in self._segments(escaped) for i in self.encode_part(s)]
+        return b"".join([self.encode_part(s) for s in self._segments(escaped)])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of any text; of the empty text, none."""
+        return np.frombuffer(self._encode(text), "<i4").tolist()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as 4-byte integers. Parts between single spaces are remembered whole."""
-        plain = self.dummy_prefix and not any(p.rstrip(SPACE)[1:].count(SPACE) for p in self.id)
-        split = [t.split(" ") if plain and t and t[0] != " " and "  " not in t and t[-1] != " " and SPACE not in t else None for t in texts]
+        split = [t.split(" ") if self.plain and t and t[0] != " " and "  " not in t and t[-1] != " " and SPACE not in t else None for t in texts]
         words = set().union(*(s for s in split if s is not None))
-        if len(self.parts) + len(words) > CACHE:
-            self.parts.clear()
         parts = self.parts
+        if len(parts) + len(words) > CACHE:
+            parts.clear()
         for w in words:
             if w not in parts:
-                parts[w] = np.array([i for s in self._segments(SPACE + w) for i in self.encode_part(s)], "<i4").tobytes()
-        return [np.array(self.encode(t), "<i4").tobytes() if s is None else b"".join([parts[w] for w in s]) for s, t in zip(split, texts)]
+                parts[w] = b"".join([self.encode_part(s) for s in self._segments(SPACE + w)])
+        return [self._encode(t) if s is None else b"".join([parts[w] for w in s]) for s, t in zip(split, texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; broken UTF-8 is replaced."""
@@ -182,16 +218,16 @@ class Search:
         self.last: list[str | None] = [None]  # the last piece of the path to each position
         self.best: list[float] = [0.0]
 
-    def _advance(self) -> None:
+    def advance(self) -> None:
         m, text, last, best = self.model, self.text, self.last, self.best
+        reachable = m.reachable
         n = len(text)
         for j in range(len(last), n + 1):
             found, top = None, -np.inf
-            for length in range(min(m.longest, j), 0, -1):
-                p = text[j - length : j]
-                if length > 1 and p not in m.reachable:
+            for i in range(max(0, j - m.longest_to.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
+                p = text[i:j]
+                if j - i > 1 and p not in reachable:
                     continue
-                i = j - length
                 if i and last[i] is None:
                     continue
                 if m.bpe:
@@ -215,7 +251,7 @@ class Search:
     def push(self, chars: str) -> list[int]:
         """Take in characters; return the ids that became final."""
         self.text += chars
-        self._advance()
+        self.advance()
         n = len(self.text)
         # Later pieces start at one of the window's positions; follow all paths from there.
         ends = {j for j in range(max(0, n - self.model.longest + 1), n + 1) if j == 0 or self.last[j] is not None}
@@ -243,8 +279,14 @@ class Search:
         return ids
 
 
+@functools.lru_cache(maxsize=2)
+def load(path: str) -> Model:
+    """The model, and what it remembers, for as long as the worker lives."""
+    return Model(path)
+
+
 def _encode(batches, model_path: str):
-    model = Model(model_path)
+    model = load(model_path)
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for a, b in slices(offsets):
@@ -269,7 +311,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def _decode(batches, model_path: str):
-    model = Model(model_path)
+    model = load(model_path)
     for batch in batches:
         texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])

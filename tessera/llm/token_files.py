@@ -14,6 +14,7 @@ from the nearest sample, without a table of 64-bit offsets.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -195,8 +196,14 @@ class Encoder:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str, width: int) -> Encoder:
+    """The encoder, and what it remembers, for as long as the worker lives."""
+    return Encoder(tokenizer_path, width)
+
+
 def _tokenize(batches, tokenizer_path: str, width: int, edges: np.ndarray, end_id: int):
-    encoder = Encoder(tokenizer_path, width)
+    encoder = encoder_of(tokenizer_path, width)
     end = np.array([end_id], f"<u{width}").tobytes()
     for batch in batches:
         data, offsets = strings(batch.column(1))
