@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, quality_rules, substring_dedup, token_files
+from tessera.llm import exact_dedup, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_files
 from tessera.session import read_table
 
 #: Folder of the public vocabularies, used where the package that names them isn't installed.
@@ -70,3 +70,8 @@ def tokenizer(name: str) -> str:
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
