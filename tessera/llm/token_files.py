@@ -15,6 +15,7 @@ from the nearest sample, without a table of 64-bit offsets.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import uuid
@@ -36,6 +37,9 @@ SAMPLE = 256
 END_ID = 1
 #: Words whose ids a worker remembers, at most; beyond, it starts afresh.
 CACHE_WORDS = 250_000
+CACHE_STEMS = 700_000
+
+_PUNCTUATION = b".,;:!?#$%&*|"
 
 
 class EliasFano:
@@ -171,7 +175,13 @@ class Shard:
 
 
 class Encoder:
-    """Encodes whole texts word by word, remembering words: white space never takes part in a token."""
+    """Encodes whole texts word by word: white space never takes part in a token of this kind of model.
+
+    Words are remembered as they stand, and their stems (an ASCII word in lower case, or one
+    that ends in a letter, without the punctuation after it) apart from them, as the model
+    lower-cases and never joins a letter with punctuation. Stems of letters only, each one
+    word end in the model, are encoded many in a row and parted at their word ends.
+    """
 
     def __init__(self, tokenizer_path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,21 +189,70 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.type = f"<u{width}"
+        self.width = width
+        settings = json.loads(self.tokenizer.to_str())
+        steps = {x["type"] for x in (settings.get("normalizer") or {}).get("normalizers", [])}
+        suffix = settings["model"].get("end_of_word_suffix")
+        self.splits = "Lowercase" in steps and bool(suffix)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            for piece, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = piece.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        rows, rest = [], []
+        for w in stems:
+            (rows if w.isalpha() or not w.isascii() and w.decode().lower().isalpha() else rest).append(w)
+        for a in range(0, len(rows), 2000):
+            part = rows[a : a + 2000]
+            ids = np.array(self._encode([b" ".join(part).decode()])[0], self.type)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(cuts) != len(part):
+                rest += part
+                continue
+            raw, first = ids.tobytes(), 0
+            for w, last in zip(part, cuts.tolist()):
+                self.stems[w] = raw[first:last]
+                first = last
+        for w, ids in zip(rest, self._encode([w.decode() for w in rest])):
+            self.stems[w] = np.array(ids, self.type).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for w, e in zip(new, encode([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.type).tobytes()
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        stems, known = self.stems, self.known
+        new = words.difference(known)
+        plan: list[tuple[bytes, bytes, bytes]] = []
+        wanted: set[bytes] = set()
+        for w in new:
+            stem, tail = w, b""
+            if self.splits:
+                cut = w.rstrip(_PUNCTUATION)
+                if cut and len(cut) < len(w) and (cut[-1:].isalnum() or cut[-1] >= 0x80 and cut.decode()[-1].lower().isalpha()):
+                    stem, tail = cut, w[len(cut) :]
+                if stem.isascii():
+                    stem = stem.lower()
+            plan.append((w, stem, tail))
+            wanted.add(stem)
+            if tail:
+                wanted.add(tail)
+        self._learn_stems([s for s in wanted if s not in stems])
+        for w, stem, tail in plan:
+            known[w] = stems[stem] + stems[tail] if tail else stems[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         self.learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=2)
