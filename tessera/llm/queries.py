@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_files
+from tessera.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_files
 from tessera.session import read_table
 
 #: Folder of the public vocabularies, used where the package that names them isn't installed.
@@ -75,3 +75,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sentencepiece")
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
