@@ -34,7 +34,7 @@ from tessera.llm.kernel import slices, strings
 
 SPACE = "▁"
 #: Remembered segments, parts between spaces, and pairs of a worker, at most; then it starts afresh.
-CACHE = 250_000
+CACHE = 400_000
 PAIR_CACHE = 500_000
 PREFIX_CACHE = 1_200_000
 #: Characters between two looks for a common boundary, and of the longest remembered segment.
@@ -80,6 +80,7 @@ class Model:
             self.reachable = {p: p for p in self.id if self.merge(p) == [p]}
         else:
             self.reachable = {p: p for p in self.id}
+        self.packed = {p: struct.pack("<i", i) for p, i in self.id.items()}
         self.tuples = {p: (i,) for p, i in self.id.items()}
         self.longest_to: dict[str, int] = {}  # by a piece's last two characters
         for p in self.reachable:
@@ -106,8 +107,6 @@ class Model:
 
     def fits(self, a: str, b: str) -> bool:
         """BPE: whether two pieces in a row encode to themselves."""
-        if a[-1] + b[0] not in self.inner:
-            return True
         after = self.pairs.get(a)
         if after is None:
             after = self.pairs[a] = {}
@@ -115,8 +114,9 @@ class Model:
         if ok is None:
             if self.n_pairs >= PAIR_CACHE:
                 self.pairs, self.n_pairs = {}, 0
+                after = self.pairs[a] = {}
             self.n_pairs += 1
-            ok = after[b] = self.merge(a + b) == [a, b]
+            ok = after[b] = a[-1] + b[0] not in self.inner or self.merge(a + b) == [a, b]
         return ok
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
@@ -144,21 +144,30 @@ class Model:
             k = end - 1
             while k and part[:k] not in lasts:
                 k -= 1
-            reachable, longest_to = self.reachable, self.longest_to
+            reachable, longest_to, pairs = self.reachable, self.longest_to, self.pairs
             for j in range(k + 1, end + 1):
                 for i in range(max(0, j - longest_to.get(part[j - 2 : j], 1)) if j > 1 else 0, j):
                     p = part[i:j]
                     if j - i > 1 and p not in reachable:
                         continue
-                    if i == 0 or self.fits(lasts[part[:i]], p):
+                    if i:
+                        before = lasts[part[:i]]
+                        after = pairs.get(before)
+                        ok = None if after is None else after.get(p)
+                        if ok is None:
+                            ok = self.fits(before, p)
+                            pairs = self.pairs
+                    if not i or ok:
                         lasts[part[:j]] = reachable.get(p, p)
                         break
-        out: tuple[int, ...] = ()
+        packed, out = self.packed, []
         while end:
             p = lasts[part[:end]]
-            out = self.ids_of(p) + out
+            x = packed.get(p)
+            out.append(struct.pack(f"<{len(p.encode())}i", *self.ids_of(p)) if x is None else x)
             end -= len(p)
-        return struct.pack(f"<{len(out)}i", *out)
+        out.reverse()
+        return b"".join(out)
 
     def _segments(self, escaped: str) -> list[str]:
         """Cut between letters, other characters and spaces, where those boundaries are forced."""
@@ -186,8 +195,8 @@ class Model:
         split = [t.split(" ") if self.plain and t and t[0] != " " and "  " not in t and t[-1] != " " and SPACE not in t else None for t in texts]
         words = set().union(*(s for s in split if s is not None))
         parts = self.parts
-        if len(parts) + len(words) > CACHE:
-            parts.clear()
+        if len(parts) + len(words) > CACHE:  # words of these texts that are known already are frequent ones
+            parts = self.parts = {w: parts[w] for w in words if w in parts}
         for w in words:
             if w not in parts:
                 parts[w] = b"".join([self.encode_part(s) for s in self._segments(SPACE + w)])

@@ -36,7 +36,7 @@ SAMPLE = 256
 #: Id appended to each document.
 END_ID = 1
 #: Words whose ids a worker remembers, at most; beyond, it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 CACHE_STEMS = 700_000
 
 _PUNCTUATION = b".,;:!?#$%&*|"
@@ -224,8 +224,8 @@ class Encoder:
             self.stems[w] = np.array(ids, self.type).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+        if len(self.known) + len(words) > CACHE_WORDS:  # words of these texts that are known already are frequent ones
+            self.known = {w: self.known[w] for w in words if w in self.known}
         if len(self.stems) > CACHE_STEMS:
             self.stems.clear()
         stems, known = self.stems, self.known
