@@ -5,30 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera import session
-from tessera.llm import exact_dedup, quality_rules
+from tessera.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec
+from tessera.llm.queries import tokenizer
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list rejects."""
-    learned = quality_rules.fit(docs, session.read_table(spark, sf_dir, "labels"))
-    return quality_rules.keep(docs, learned)
+    return quality_rules.keep(docs, quality_rules.fit(docs, session.read_table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that of the largest id."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality_rules", rules), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least id."""
+    return near_dedup.deduplicate(docs)
 
-#: Learned rules, sketches and sampling can't be put in SQL; tests compare with brute force.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's text, and whether they decode to it."""
+    return sentencepiece_codec.encode(docs, tokenizer("piece_bpe_32k.model"))
+
+
+STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("sentencepiece", encode)]
+
+#: Learned rules, sampling and token ids can't be put in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``; each one's result is written and read again."""
     docs = session.read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = session.materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = session.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, token_files
+from tessera.llm import chat, exact_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files
 from tessera.session import read_table
 
 #: Folder of the public vocabularies, used where the package that names them isn't installed.
@@ -80,3 +80,30 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_chat_formatting",
+    """WITH t AS (SELECT conv_id, turn, role, text, coalesce(role, 'user') AS r, replace(coalesce(text, ''), '<|', '< |') AS x,
+  CASE WHEN role IS NULL THEN '-' ELSE '+' || length(role) || ':' || role END || CASE WHEN text IS NULL THEN '-' ELSE '+' || length(text) || ':' || text END AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n_turns, list(k ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(k)) AS ks,
+  string_agg('<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(k)) AS rendered FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT sha256(array_to_string(ks[1:i], '')) AS h FROM (SELECT ks, unnest(range(1, n_turns)) AS i FROM c)),
+u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_snapshots FROM c GROUP BY ks)
+SELECT conv_id, n_turns, n_snapshots, rendered FROM u JOIN c USING (conv_id)
+WHERE sha256(array_to_string(ks, '')) NOT IN (SELECT h FROM p)""",
+)
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read_table(spark, sf_dir, "conversations"))
