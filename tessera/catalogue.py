@@ -1,6 +1,348 @@
-"""Registered queries of the search engine, each with its SQL."""
+"""Registered queries of the search engine, each with its SQL.
+
+Documents are the collection (id and number ``doc_id``); the passages of ``benchmark`` are a
+batch of queries. Case is Latin-1, stop words are removed, terms aren't stemmed but where a
+query says so. The index tables are written once for each folder and session and then
+searched, as an index is.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import codecs, scoring
+from tessera.functions import normalize as nz
+from tessera.operators import bounds
+from tessera.operators import index as ix
+from tessera.operators.search import query_terms, scored_postings, search, top_k
+from tessera.operators.sorted_map import SortedMap
+from tessera.session import read_table
+from tessera.sources.collections import run_lines
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Block of postings, width of ranges of ids, documents in a part, bytes in a part: small enough to show.
+BLOCK, WIDTH, PART, PART_BYTES = 64, 64, 250, 100_000
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), "text")
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def opened(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """The index of a folder's documents, built at first use in a session."""
+    held = spark.sparkContext.__dict__.setdefault("_tessera_indexes", {})
+    if sf_dir not in held:
+        held[sf_dir] = ix.build(collection(spark, sf_dir))
+    return held[sf_dir]
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FROM, _TO = nz.ASCII_UPPER + nz.LATIN1_UPPER, nz.ASCII_LOWER + nz.LATIN1_LOWER
+_CLASS = {n: _literal(nz.character_class(c)) for n, c in ((1, nz.PUNCTUATION_1), (2, nz.PUNCTUATION_2), (3, nz.PUNCTUATION_3))}
+
+
+def _normal(text: str) -> str:
+    x = f"regexp_replace({text}, {_literal(nz.character_class(nz.PUNCTUATION))}, ' ', 'g')"
+    return f"string_split_regex(translate({x}, {_literal(_FROM)}, {_literal(_TO)}), '[ \\t\\n\\x0B\\f\\r]+')"
+
+
+_STOP = ", ".join(_literal(w) for w in nz.stop_words())
+
+
+def _tokens(table: str, id_: str, alias: str, stop: bool = True) -> str:
+    drop = f" AND term NOT IN ({_STOP})" if stop else ""
+    return f"SELECT {alias}, term FROM (SELECT {id_} AS {alias}, unnest({_normal('text')}) AS term FROM {table}) WHERE term <> '' AND strlen(term) <= 240{drop}"
+
+
+_INDEX = f"""tokens AS ({_tokens("documents", "doc_id", "docid")}),
+tf AS (SELECT docid, term, count(*) AS tf FROM tokens GROUP BY ALL),
+lengths AS (SELECT docid, sum(tf)::BIGINT AS dl FROM tf GROUP BY docid),
+doc_index AS (SELECT doc_id AS docid, doc_id::VARCHAR AS docno, coalesce(dl, 0) AS dl FROM documents LEFT JOIN lengths ON docid = doc_id),
+postings AS (SELECT term, tf.docid, tf, dl FROM tf JOIN lengths USING (docid)),
+lexicon AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+meta AS (SELECT count(*) AS n_docs, sum(dl)::BIGINT AS doc_len_sum, sum(dl)::DOUBLE / count(*) AS avgdl FROM doc_index)"""
+_SCORED = f"""{_INDEX},
+scored AS (SELECT term, docid, tf, df, log2(n_docs::DOUBLE / df) AS idf,
+  tf / (0.82::DOUBLE * ((1 - 0.68::DOUBLE) + 0.68::DOUBLE * dl / avgdl) + tf) * log2(n_docs::DOUBLE / df) AS bm25,
+  (1 + log2(tf::DOUBLE)) * log2(n_docs::DOUBLE / df) AS tfidf,
+  (1 + floor(log2(tf::DOUBLE))) * log2(n_docs::DOUBLE / df) AS tfidf_fast
+  FROM postings JOIN lexicon USING (term), meta)"""
+_ASKED = f"qterms AS (SELECT DISTINCT qid, term FROM ({_tokens('benchmark', 'item_id', 'qid')}))"
+
+
+def _search_sql(score: str, k: int = 10, having: str = "", extra: str = "") -> str:
+    return f"""WITH {_SCORED}, {_ASKED}, wanted AS (SELECT qid, count(*) AS wanted FROM qterms GROUP BY qid){extra},
+sums AS (SELECT q.qid, docid, sum({score}) AS score, count(*) AS matched FROM qterms q JOIN scored USING (term) GROUP BY ALL),
+ranked AS (SELECT sums.qid, docid, score, row_number() OVER (PARTITION BY sums.qid ORDER BY round(score, 6) DESC, docid) AS rank FROM sums JOIN wanted USING (qid) {having})
+SELECT qid, docid::VARCHAR AS docno, docid, rank, round(score, 6) AS score FROM ranked WHERE rank <= {k}"""
+
+
+# Normalisation
+
+
+@query(
+    "punct_strip",
+    f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {_CLASS[1]}, ' ', 'g'), {_CLASS[2]}, '  ', 'g'), {_CLASS[3]}, '   ', 'g') AS stripped FROM documents",
+)
+def punct_strip(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", nz.strip_punctuation(F.col("text")).alias("stripped"))
+
+
+@query("lower_ascii", f"SELECT doc_id, translate(text, '{nz.ASCII_UPPER}', '{nz.ASCII_LOWER}') AS lowered FROM documents")
+def lower_ascii(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", nz.lower_ascii(F.col("text")).alias("lowered"))
+
+
+@query("lower_latin1", f"SELECT doc_id, translate(text, '{_FROM}', '{_TO}') AS lowered FROM documents")
+def lower_latin1(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", nz.lower_latin1(F.col("text")).alias("lowered"))
+
+
+_REPAIRS = [
+    ("AntonÃ­n DvorÃ¡k (1841â\u0080\u00931904)", "Antonín Dvorák (1841–1904)"),
+    ("café", "café"),
+    ("uk € Ã¡", "uk € Ã¡"),
+    ("second half only: plain plain Ã ", "second half only: plain plain à"),
+    ("", ""),
+]
+
+
+@query("mojibake_fix", "SELECT * FROM (VALUES " + ", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in _REPAIRS) + ") AS t(raw, fixed)")
+def mojibake_fix(spark, sf_dir):
+    rows = spark.createDataFrame([(a,) for a, _ in _REPAIRS], "raw string")
+    return rows.select("raw", nz.fix_encoding(F.col("raw")).alias("fixed"))
+
+
+@query("tokens", f"SELECT docid, term, count(*) AS n FROM ({_tokens('documents', 'doc_id', 'docid', False)}) GROUP BY ALL")
+def tokens(spark, sf_dir):
+    return ix.tokens(collection(spark, sf_dir), nz.NormalizerConfig(stop_words=False)).groupBy("docid", "term").agg(F.count("*").alias("n"))
+
+
+@query("tokens_nostop", f"SELECT docid, term, count(*) AS n FROM ({_tokens('documents', 'doc_id', 'docid')}) GROUP BY ALL")
+def tokens_nostop(spark, sf_dir):
+    return ix.tokens(collection(spark, sf_dir)).groupBy("docid", "term").agg(F.count("*").alias("n"))
+
+
+@query("query_terms", f"WITH {_ASKED} SELECT * FROM qterms")
+def query_terms_(spark, sf_dir):
+    return query_terms(passages(spark, sf_dir), opened(spark, sf_dir))
+
+
+@query("stem_pipeline")
+def stem_pipeline(spark, sf_dir):
+    return ix.frequencies(collection(spark, sf_dir), nz.NormalizerConfig.english())
+
+
+# Index tables
+
+
+@query("postings", f"WITH {_INDEX} SELECT term, docid, tf FROM postings")
+def postings(spark, sf_dir):
+    return opened(spark, sf_dir).postings.select("term", "docid", "tf")
+
+
+@query("doc_index", f"WITH {_INDEX} SELECT docid, docno, dl FROM doc_index")
+def doc_index(spark, sf_dir):
+    return opened(spark, sf_dir).doc_index
+
+
+@query("lexicon", f"WITH {_INDEX} SELECT term, df FROM lexicon")
+def lexicon(spark, sf_dir):
+    return opened(spark, sf_dir).lexicon
+
+
+@query("collection_stats", f"WITH {_INDEX} SELECT n_docs, doc_len_sum, round(avgdl, 6) AS avgdl FROM meta")
+def collection_stats(spark, sf_dir):
+    return opened(spark, sf_dir).metadata().withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query("local_lexicon", f"WITH {_INDEX} SELECT docid // {PART} AS part, term, count(*) AS df FROM postings GROUP BY ALL")
+def local_lexicon(spark, sf_dir):
+    return ix.local_lexicon(opened(spark, sf_dir), PART)
+
+
+@query("lexicon_merge", f"WITH {_INDEX} SELECT term, df FROM lexicon")
+def lexicon_merge(spark, sf_dir):
+    local = ix.local_lexicon(opened(spark, sf_dir), PART)
+    halves = [SortedMap(local.where(f"part % 2 = {i}").select("term", "df"), "term") for i in (0, 1)]
+    return SortedMap.merge(halves, {"df": F.sum}).rows
+
+
+@query(
+    "size_parts",
+    f"WITH s AS (SELECT doc_id AS docid, (strlen(doc_id::VARCHAR) + strlen(coalesce(text, '')))::BIGINT AS size FROM documents) "
+    f"SELECT docid, size, (coalesce(sum(size) OVER (ORDER BY docid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {PART_BYTES})::BIGINT AS part FROM s",
+)
+def size_parts(spark, sf_dir):
+    return ix.size_parts(collection(spark, sf_dir), PART_BYTES)
+
+
+# Scores
+
+
+@query("idf", f"WITH {_INDEX} SELECT term, df, round(log2(n_docs::DOUBLE / df), 6) AS idf FROM lexicon, meta")
+def idf(spark, sf_dir):
+    i = opened(spark, sf_dir)
+    return i.lexicon.select("term", "df", F.round(scoring.idf(F.lit(i.n_docs), F.col("df")), 6).alias("idf"))
+
+
+def _scores(spark, sf_dir, scorer) -> DataFrame:
+    i = opened(spark, sf_dir)
+    return scored_postings(query_terms(passages(spark, sf_dir), i), i, scorer).select("qid", "term", "docid", F.round("score", 6).alias("score"))
+
+
+def _scores_sql(score: str) -> str:
+    return f"WITH {_SCORED}, {_ASKED} SELECT qid, term, docid, round({score}, 6) AS score FROM qterms JOIN scored USING (term)"
+
+
+@query("bm25_scores", _scores_sql("bm25"))
+def bm25_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, scoring.BM25())
+
+
+@query("tfidf_scores", _scores_sql("tfidf"))
+def tfidf_scores(spark, sf_dir):
+    return _scores(spark, sf_dir, scoring.TFIDF())
+
+
+@query("tfidf_fastlog", _scores_sql("tfidf_fast"))
+def tfidf_fastlog(spark, sf_dir):
+    return _scores(spark, sf_dir, scoring.TFIDF(fast_log=True))
+
+
+# Retrieval
+
+
+def _found(spark, sf_dir, **options) -> DataFrame:
+    found = search(opened(spark, sf_dir), passages(spark, sf_dir), **options)
+    return found.withColumns({"rank": F.col("rank").cast("long"), "score": F.round("score", 6)})
+
+
+_AND = "WHERE matched = wanted"
+_ENDS = ", ends AS (SELECT q.qid, list(last) AS ends, count(*) AS n, count(last) AS known FROM qterms q LEFT JOIN (SELECT term, max(docid) AS last FROM postings GROUP BY term) USING (term) GROUP BY q.qid)"
+_AND_LISTS = "JOIN ends USING (qid) WHERE n = known AND matched + len(list_filter(ends, lambda e: e < docid)) = wanted"
+
+
+@query("topk_or_bm25", _search_sql("bm25"))
+def topk_or_bm25(spark, sf_dir):
+    return _found(spark, sf_dir)
+
+
+@query("topk_or_tfidf", _search_sql("tfidf"))
+def topk_or_tfidf(spark, sf_dir):
+    return _found(spark, sf_dir, scorer=scoring.TFIDF())
+
+
+@query("topk_or_bm25_k20", _search_sql("bm25", 20))
+def topk_or_bm25_k20(spark, sf_dir):
+    return _found(spark, sf_dir, k=20)
+
+
+@query("topk_and_bm25", _search_sql("bm25", having=_AND))
+def topk_and_bm25(spark, sf_dir):
+    return _found(spark, sf_dir, mode="and")
+
+
+@query("topk_and_tfidf", _search_sql("tfidf", having=_AND))
+def topk_and_tfidf(spark, sf_dir):
+    return _found(spark, sf_dir, mode="and", scorer=scoring.TFIDF())
+
+
+@query("legacy_and", _search_sql("bm25", having=_AND_LISTS, extra=_ENDS))
+def legacy_and(spark, sf_dir):
+    return _found(spark, sf_dir, mode="and-lists")
+
+
+@query("topk_pruned_bm25", _search_sql("bm25"))
+def topk_pruned_bm25(spark, sf_dir):
+    return _found(spark, sf_dir, mode="pruned", width=WIDTH)
+
+
+@query("topk_pruned_tfidf", _search_sql("tfidf"))
+def topk_pruned_tfidf(spark, sf_dir):
+    return _found(spark, sf_dir, mode="pruned", scorer=scoring.TFIDF(), width=WIDTH)
+
+
+@query("partition_topk_merge", _search_sql("bm25"))
+def partition_topk_merge(spark, sf_dir):
+    """Top k in each part of the collection, then of all parts' results."""
+    i = opened(spark, sf_dir)
+    sums = scored_postings(query_terms(passages(spark, sf_dir), i), i).groupBy("qid", "docid").agg(F.sum("score").alias("score"))
+    key = F.struct("qid", F.expr(f"docid div {PART}").alias("part"))
+    partial = top_k(sums.withColumn("qid", key), 10).select(F.col("qid.qid").alias("qid"), "docid", "score")
+    best = top_k(partial, 10)
+    return best.select("qid", F.col("docid").cast("string").alias("docno"), "docid", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "trec_run",
+    f"SELECT qid, rank, qid || ' Q0 ' || docno || ' ' || rank || ' ' || score || ' TESSERA0' AS line FROM (SELECT qid, rank, docno, printf('%.6g', score) AS score FROM ({_search_sql('bm25')}))",
+)
+def trec_run(spark, sf_dir):
+    return run_lines(_found(spark, sf_dir))
+
+
+# Bounds and maps
+
+
+@query("term_sigma", f"WITH {_SCORED} SELECT term, count(*) AS df, round(max(bm25), 6) AS bm25_sigma, round(max(tfidf), 6) AS tfidf_sigma FROM scored GROUP BY term")
+def term_sigma(spark, sf_dir):
+    return bounds.term_sigma(opened(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("bm25_sigma", "tfidf_sigma")})
+
+
+@query(
+    "term_blocks",
+    f"WITH {_SCORED}, placed AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY docid) - 1) // {BLOCK} AS block FROM scored) "
+    "SELECT term, block, count(*) AS n, round(max(bm25), 6) AS bm25_ub, round(max(tfidf), 6) AS tfidf_ub, max(docid) AS last_docid FROM placed GROUP BY ALL",
+)
+def term_blocks(spark, sf_dir):
+    return bounds.term_blocks(opened(spark, sf_dir), BLOCK).withColumns({c: F.round(c, 6) for c in ("bm25_ub", "tfidf_ub")})
+
+
+@query("block_stats", f"WITH {_INDEX} SELECT count(*) AS n_terms, max(b) AS max_blocks, round(avg(b), 6) AS avg_blocks FROM (SELECT ceil(df::DOUBLE / {BLOCK})::BIGINT AS b FROM lexicon)")
+def block_stats(spark, sf_dir):
+    return bounds.block_stats(opened(spark, sf_dir), BLOCK).withColumn("avg_blocks", F.round("avg_blocks", 6))
+
+
+@query("range_bounds", f"WITH {_SCORED} SELECT term, docid // {WIDTH} AS rng, count(*) AS n, round(max(bm25), 6) AS bm25_ub, round(max(tfidf), 6) AS tfidf_ub FROM scored GROUP BY ALL")
+def range_bounds(spark, sf_dir):
+    return bounds.range_bounds(opened(spark, sf_dir), WIDTH).withColumns({c: F.round(c, 6) for c in ("bm25_ub", "tfidf_ub")})
+
+
+@query("map_find", f"WITH {_INDEX}, {_ASKED} SELECT term, df FROM lexicon WHERE term IN (SELECT term FROM qterms)")
+def map_find(spark, sf_dir):
+    i = opened(spark, sf_dir)
+    return SortedMap(i.lexicon, "term").find_all(query_terms(passages(spark, sf_dir), i))
+
+
+@query("vbyte_len", f"WITH {_INDEX} SELECT term, sum(greatest(1, ceil((floor(log2(greatest(docid, 1)::DOUBLE)) + 1) / 7)))::BIGINT AS docid_bytes FROM postings GROUP BY term")
+def vbyte_len(spark, sf_dir):
+    return opened(spark, sf_dir).postings.groupBy("term").agg(F.sum(codecs.vbyte_length(F.col("docid"))).alias("docid_bytes"))
+
+
+@query("unary_bits", f"WITH {_INDEX} SELECT term, sum(tf)::BIGINT AS freq_bits, ceil(sum(tf) / 8.0)::BIGINT AS freq_bytes FROM postings GROUP BY term")
+def unary_bits(spark, sf_dir):
+    bits = F.sum("tf")
+    return opened(spark, sf_dir).postings.groupBy("term").agg(bits.alias("freq_bits"), F.ceil(bits / 8).cast("long").alias("freq_bytes"))
