@@ -1,21 +1,26 @@
 """Near-duplicate detection by bottom-k sketches of one hash function.
 
-1. Of each document's set of word shingles, the SKETCH smallest hashes are kept. Documents of
-   equal sets are one from here on (their representative is the least id).
-2. Inverted lists of the smallest LISTED values hold each pair that shares one. Values in
-   many lists (over HEAVY documents) are left out for documents of which they are less than a
-   third, since those keep enough other values; no other value or document is left out.
+1. Of each document's set of word shingles, the SKETCH smallest hashes are kept, in order.
+   Documents of equal sets are one from here on (their representative is the least id).
+2. Inverted lists of retained values, by runs of RUN values that follow one another in a
+   sketch: single common shingles thus make no long lists. Runs of one document only are
+   found first, packed by bucket (see ``repeats``), and never listed. Sets of at most SMALL
+   shingles are listed by runs of two as well.
 3. Rounds. First every document is held against one hub, the least id of its lists (that in
    most of them); links found join into components. Then pairs in a common list but in
    different components are held against each other, so that pairs inside a group of copies
    are never listed.
-4. A pair is looked at further if the sketch of the two sets' union, made from both sketches,
-   puts their similarity at DOUBT or more, and is a link if the full sets confirm it.
-
-At similarity 0.8 a smallest value of the union is in both sets with a chance of 0.8, so two
-sets of size LISTED and more share some 26 of 32 listed values; that they share fewer than the
-12 that rules 2 and 3 can take has a chance below 1e-7 a linked pair, and that the estimate
-from 64 values falls below DOUBT one below 1e-9. Smaller sets are listed whole.
+4. A pair is looked at further if it has enough lists in common and the sketch of the two
+   sets' union, made from both sketches, puts their similarity at DOUBT or more. It is a link
+   if the full sets confirm it.
+
+Sets of up to SKETCH shingles are whole in their sketches. Let u be the union's size and d
+the shingles in one set only; links have d <= u / 5. The d cut the shared ones into at most d
++ 1 stretches, so the longest has 3 or more for u > 5 (2 for u = 5), and u - 3d - 2 >= 0.4 u -
+2 runs are common: rules 2 and 4 lose no link of these. For larger sets, each of the union's
+64 least hashes is in both with a chance of at least 0.8; that fewer than FEW of their runs of
+three are shared then has a chance near 2e-8 for a pair at exactly 0.8 (simulated), and that
+the estimate falls below DOUBT one below 1e-9.
 """
 
 from __future__ import annotations
@@ -24,16 +29,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import bloom
+from tessera.llm import bloom, repeats
 from tessera.llm.components import components
 from tessera.llm.kernel import Words, mix, slices, strings
 
 SHINGLE = 2
-SKETCH, LISTED, HEAVY, DOUBT = 64, 32, 64, 0.45
+SKETCH, RUN, SMALL, FEW, DOUBT = 64, 3, 5, 3, 0.45
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -75,6 +80,54 @@ def _sketches(batches, k: int):
             )
 
 
+def _runs(values: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the runs of retained values in each row's sketch."""
+    rows, keys = [], []
+    count = np.diff(offsets)
+    row = np.repeat(np.arange(len(count)), count)
+    for k, wanted in ((RUN, count >= RUN), (2, (sizes <= SMALL) & (count >= 2))):
+        n = len(values) - k + 1
+        if n <= 0:
+            continue
+        with np.errstate(over="ignore"):
+            x = values[:n] * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+            for j in range(1, k):
+                x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + values[j : n + j]
+        ok = (row[:n] == row[k - 1 :]) & wanted[row[:n]]
+        rows.append(row[:n][ok])
+        keys.append(mix(x[ok]))
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _batch_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    sketch = batch.column("sketch")
+    offsets = sketch.offsets.to_numpy()
+    values = sketch.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
+    return _runs(values, offsets - offsets[0], batch.column("n").to_numpy())
+
+
+def _send_runs(batches, log_buckets: int):
+    sender = repeats.Sender()
+    for batch in batches:
+        row, keys = _batch_runs(batch)
+        if len(keys):
+            # A document's own repeats of a run (there are none but by collision) don't matter.
+            if sender.add(repeats.short_keys(keys, log_buckets)):
+                yield sender.flush()
+    if sender.size:
+        yield sender.flush()
+
+
+def _entries(batches, shared, log_buckets: int):
+    filter_ = shared.value
+    for batch in batches:
+        row, keys = _batch_runs(batch)
+        ok = repeats.is_hit(filter_, repeats.short_keys(keys, log_buckets))
+        row, keys = row[ok], keys[ok]
+        ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[row]), pa.array(n[row])], ["value", "id", "n"])
+
+
 def _sets_of(batches, shared, k: int):
     words = shared.value
     for batch in batches:
@@ -126,7 +179,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, source: DataFrame, k: int, per
     return session.materialize(joined.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id and kept.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets
@@ -135,7 +188,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     is kept. Rows that share an id are one document to links. A null id has no links, a null
     component_id, and is kept.
     """
-    session.ship_code(docs.sparkSession)
+    spark = docs.sparkSession
+    session.ship_code(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_docs = session.materialize(source.mapInArrow(lambda it: _sketches(it, k), "id long, n long, sig binary, sketch array<long>"), "sketches")
     linked = all_docs.where("id is not null and n > 0")
@@ -143,24 +197,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     reps = linked.join(same.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id", "n"])
     reps = session.materialize(reps, "reps")
 
-    # Inverted lists of at least two documents.
-    listed = reps.select("id", "n", F.size(F.slice("sketch", 1, LISTED)).alias("listed"), F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    lists = listed.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("hub")).where("c > 1")
-    entries = listed.join(lists, "value")
-    heavy = F.col("c") > HEAVY
-    n_heavy = F.sum(heavy.cast("int")).over(Window.partitionBy("id"))
-    entries = entries.withColumn("n_heavy", n_heavy).where(~heavy | (3 * F.col("n_heavy") > F.col("listed"))).select("value", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    entries = session.materialize(entries, "entries")
+    n_buckets = buckets or repeats.power_of_two(repeats.input_bytes(docs) / (1 << 21), 16, 1 << 20)
+    log_buckets = n_buckets.bit_length() - 1
+    shared = spark.sparkContext.broadcast(repeats.collect(reps.mapInArrow(lambda it: _send_runs(it, log_buckets), repeats.SENT), n_buckets))
+    entries = session.materialize(reps.mapInArrow(lambda it: _entries(it, shared, log_buckets), "value long, id long, n long"), "entries")
 
-    def near(a: str, b: str):
+    def near(a: str, b: str) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    by_hub = entries.where("id <> hub").where(near("n", "hub_n")).groupBy("id", "hub").agg(F.count("*").alias("c"))
+    def enough(c: str, a: str, b: str) -> Column:
+        """Whether a pair has as many common lists as a link of its size must."""
+        most = F.greatest(a, b)
+        return F.col(c) >= F.when(most <= SKETCH, F.greatest(F.floor(most * 2 / 5) - 2, F.lit(1))).otherwise(F.lit(FEW))
+
+    hubs = entries.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("hub")).where("c > 1").select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    by_hub = entries.join(hubs, "value").where("id <> hub").where(near("n", "hub_n")).groupBy("id", "n", "hub", "hub_n").agg(F.count("*").alias("c")).where(enough("c", "n", "hub_n"))
     first = by_hub.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     links = _links(first, reps, source, k, percent)
 
-    found = components(links.unionByName(_same_ids(linked, same)))
-    labelled = entries.drop("hub", "hub_n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = session.materialize(components(links.unionByName(_same_ids(linked, same))), "found")
+    labelled = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     labelled = session.materialize(labelled.join(mixed, "value", "left_semi"), "labelled")
     parts = labelled.groupBy("value", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -169,7 +225,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     between = left.join(right, "value").where("component_a < component_b").where((100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
     a, b = (labelled.select("value", F.col("component").alias(f"component_{s}"), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     across = between.select("value", "component_a", "component_b").join(a, ["value", "component_a"]).join(b, ["value", "component_b"]).where(near("n_a", "n_b"))
-    second = across.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    counted = across.groupBy("id_a", "n_a", "id_b", "n_b").agg(F.count("*").alias("c")).where(enough("c", "n_a", "n_b"))
+    second = counted.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).join(first, ["a", "b"], "left_anti")
     more = _links(second, reps, source, k, percent)
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 

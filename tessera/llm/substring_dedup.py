@@ -27,117 +27,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import bloom
-from tessera.llm.kernel import Words, cover, slices, splitmix, strings
+from tessera.llm import bloom, repeats
+from tessera.llm.kernel import Words, cover, slices, strings
 
 WINDOW, BLOCK = 13, 7
-#: Bits of the filter of hits: 8 MB, whatever the input.
-LOG_FILTER = 26
-#: Keys held before they are sorted and sent on.
-FLUSH = 1 << 21
 #: Stands for a null id: such a row is never the first to have a window.
 NO_ID = (1 << 63) - 1
 
-_REST = np.uint64(31)
-_HASHES = 3
-
-
-def _power_of_two(x: float, low: int, high: int) -> int:
-    return min(max(1 << max(int(x) - 1, 0).bit_length(), low), high)
-
 
 def bucket_counts(docs: DataFrame) -> tuple[int, int]:
-    """Buckets of the two shuffles, from the estimated bytes of the input; only speed depends on it."""
-    size = float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return _power_of_two(size / (1 << 19), 16, 1 << 20), _power_of_two(size / (1 << 23), 8, 1 << 24)
+    """Buckets of the two shuffles; only speed depends on them."""
+    size = repeats.input_bytes(docs)
+    return repeats.power_of_two(size / (1 << 19), 16, 1 << 20), repeats.power_of_two(size / (1 << 23), 8, 1 << 24)
 
 
 def _anchor_keys(w: Words, hashes: np.ndarray, log_buckets: int, window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each rolling window, its key of bucket and 31 bits, whether it is a grid block)."""
+    """(place of each rolling window, its short key, whether it is no grid block)."""
     g, ok = w.grams(hashes, block)
     ok &= np.repeat(w.counts >= window, w.counts)[: len(ok)]
     at = np.flatnonzero(ok)
-    keys = g[at] >> (np.uint64(64 - log_buckets) - _REST)
     in_row = at - np.repeat(w.first[:-1], w.counts)[at]
-    return at, keys, in_row % block == 0
+    return at, repeats.short_keys(g[at], log_buckets), in_row % block != 0
 
 
 def _send_anchors(batches, log_buckets: int, window: int, block: int):
-    held: list[np.ndarray] = []
-
-    def flush():
-        v = np.sort(np.concatenate(held))  # key, then 1 for a rolling window or 0 for a grid block
-        held.clear()
-        key = v >> np.uint64(1)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        several = np.diff(np.append(first, len(v))) > 1
-        # One of each key, a grid block if there is any, and one more where there were several.
-        out = np.sort(np.concatenate((v[first], v[first][several] | np.uint64(1))))
-        bucket = (out >> (_REST + np.uint64(1))).astype(np.int64)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        low = out.astype(np.uint32)
-        payload = [low[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(payload, pa.binary())], ["bucket", "payload"])
-
-    size = 0
+    sender = repeats.Sender()
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for a, b in slices(offsets):
             w = Words(data, offsets[a : b + 1])
-            _, keys, grid = _anchor_keys(w, w.hashes(), log_buckets, window, block)
-            held.append(keys << np.uint64(1) | (~grid).astype(np.uint64))
-            size += len(keys)
-            if size >= FLUSH:
-                yield flush()
-                size = 0
-    if size:
-        yield flush()
-
-
-def _region_bits(keys: np.ndarray, log_region: int) -> np.ndarray:
-    h = splitmix(keys.astype(np.uint64))
-    return np.stack([(h >> np.uint64(20 * i)) & np.uint64((1 << log_region) - 1) for i in range(_HASHES)])
-
-
-def _region(bits: np.ndarray, log_region: int) -> bytes:
-    flags = np.zeros(1 << log_region, np.uint8)
-    flags[bits.ravel().astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
-
-
-def _find_hits(log_region: int):
-    def find(key: tuple, table: pa.Table) -> pa.Table:
-        v = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in table["payload"].to_pylist()]))
-        rest = v >> np.uint32(1)
-        first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
-        hit = (np.diff(np.append(first, len(v))) > 1) & (v[first] & np.uint32(1) == 0)
-        bits = _region_bits(rest[first][hit], log_region)
-        return pa.table({"bucket": [key[0].as_py()], "region": pa.array([_region(bits, log_region) if bits.size else b""], pa.binary())})
-
-    return find
+            _, keys, rolling = _anchor_keys(w, w.hashes(), log_buckets, window, block)
+            if sender.add(keys, rolling):
+                yield sender.flush()
+    if sender.size:
+        yield sender.flush()
 
 
 def anchor_filter(source: DataFrame, n_buckets: int, window: int, block: int) -> np.ndarray:
-    """Bits of the filter, bucket by bucket, from all documents."""
+    """The filter of grid blocks that some other window equals, from all documents."""
     log_buckets = n_buckets.bit_length() - 1
-    log_region = max(LOG_FILTER - log_buckets, 6)
-    sent = source.mapInArrow(lambda it: _send_anchors(it, log_buckets, window, block), "bucket long, payload binary")
-    table = sent.groupBy("bucket").applyInArrow(_find_hits(log_region), "bucket long, region binary").where("length(region) > 0").toArrow()
-    out = np.zeros((n_buckets, (1 << log_region) // 8), np.uint8)
-    for b, region in zip(table["bucket"].to_pylist(), table["region"].to_pylist()):
-        out[b] = np.frombuffer(region, np.uint8)
-    return out
-
-
-def _is_hit(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    log_region = (filter_.shape[1] * 8).bit_length() - 1
-    bucket = (keys >> _REST).astype(np.int64)
-    flat = filter_.ravel()
-    ok = np.ones(len(keys), bool)
-    for bits in _region_bits(keys & np.uint64((1 << 31) - 1), log_region):
-        at = bucket * filter_.shape[1] + (bits >> np.uint64(3)).astype(np.int64)
-        ok &= (flat[at] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return ok
+    return repeats.collect(source.mapInArrow(lambda it: _send_anchors(it, log_buckets, window, block), repeats.SENT), n_buckets)
 
 
 def _windows(w: Words, hashes: np.ndarray, filter_: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +75,7 @@ def _windows(w: Words, hashes: np.ndarray, filter_: np.ndarray, window: int, blo
     at, keys, _ = _anchor_keys(w, hashes, log_buckets, window, block)
     n = len(hashes)
     hits = np.zeros(n + 1, np.int64)
-    hits[at[_is_hit(filter_, keys)] + 1] = 1
+    hits[at[repeats.is_hit(filter_, keys)] + 1] = 1
     hits = np.cumsum(hits)
     g, ok = w.grams(hashes, window)
     i = np.flatnonzero(ok)
@@ -181,7 +110,7 @@ def _send_windows(batches, shared, log_buckets: int, window: int, block: int):
             if len(at):
                 held.append((keys, ids[a:b][w.row_of_word()[at]]))
                 size += len(at)
-            if size >= FLUSH:
+            if size >= repeats.FLUSH:
                 yield flush()
                 size = 0
     if size:
