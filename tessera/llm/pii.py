@@ -304,8 +304,10 @@ def _detect(batches, field: Field):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> Field:
-    sample = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).orderBy("h", "text").limit(fit_docs)
-    return train(sample.select("text").toArrow()["text"].to_pylist())  # at most fit_docs rows
+    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    chosen = rows.select("h").distinct().orderBy("h").limit(fit_docs)  # hashes alone are sorted
+    texts = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").select("text").toArrow()["text"].to_pylist()  # at most fit_docs rows
+    return train(texts)
 
 
 def detect(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
