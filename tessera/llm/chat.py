@@ -10,7 +10,7 @@ prefix shared by very many conversations is one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import session
@@ -24,22 +24,25 @@ def _turn_hash(role_col: str, text_col: str) -> Column:
 
 
 def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, turns, hashes): one row for each conversation, with the SHA-256 of each prefix of its turns.
+    """(conv, t, n_turns, h1, h2): for each turn, the hash of the conversation up to it.
 
+    The hash rolls on by exclusive or with that of the turn and its place: 128 bits.
     Turns are ordered by their number; rows that share one are ordered by role and text.
     A null role or text is not the same as an empty one. Rows of a null conversation are left out.
     """
     rows = turns.where(F.col(conv_col).isNotNull()).select(
-        F.col(conv_col).cast("long").alias("conv"),
-        F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), _turn_hash(role_col, text_col).alias("sha")).alias("t"),
+        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), _turn_hash(role_col, text_col).alias("sha")
     )
-    whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    rolled = F.aggregate(
-        "turns",
-        F.array().cast("array<string>"),
-        lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), t["sha"]), 256))),
+    in_order = Window.partitionBy("conv").orderBy("turn", "role", "sha")
+    placed = rows.withColumn("t", F.row_number().over(in_order)).withColumn("n_turns", F.count("*").over(Window.partitionBy("conv")))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.select(
+        "conv",
+        "t",
+        "n_turns",
+        F.bit_xor(F.xxhash64("t", "sha")).over(so_far).alias("h1"),
+        F.bit_xor(F.xxhash64("sha", "t", F.lit("second"))).over(so_far).alias("h2"),
     )
-    return whole.select("conv", F.size("turns").alias("n_turns"), rolled.alias("hashes"))
 
 
 def maximal(turns: DataFrame, **columns) -> DataFrame:
@@ -49,10 +52,10 @@ def maximal(turns: DataFrame, **columns) -> DataFrame:
     belong to several longer ones.
     """
     prefixes = session.materialize(prefix_hashes(turns, **columns), "prefixes")
-    whole = prefixes.select("conv", "n_turns", F.element_at("hashes", -1).alias("hash"))
-    inner = prefixes.where("n_turns > 1").select(F.explode(F.slice("hashes", F.lit(1), F.col("n_turns") - 1)).alias("hash")).distinct()
-    distinct = whole.groupBy("hash").agg(F.min("conv").alias("conv"), F.first("n_turns").alias("n_turns"), F.count("*").alias("n_snapshots"))
-    return distinct.join(inner, "hash", "left_anti").select("conv", "n_turns", "n_snapshots")
+    key = ["t", "h1", "h2"]
+    inner = prefixes.where("t < n_turns").select(key).distinct()
+    distinct = prefixes.where("t = n_turns").groupBy(key).agg(F.min("conv").alias("conv"), F.count("*").alias("n_snapshots"))
+    return distinct.join(inner, key, "left_anti").select("conv", F.col("t").cast("long").alias("n_turns"), "n_snapshots")
 
 
 def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", open_tag: str = "<|", close_tag: str = "|>", end: str = "<|end|>") -> DataFrame:
@@ -66,4 +69,4 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     line = F.concat(F.lit(open_tag), F.coalesce(F.col(role_col), F.lit("user")), F.lit(f"{close_tag}\n"), safe, F.lit(f"{end}\n"))
     rows = turns.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), _turn_hash(role_col, text_col).alias("sha"), line.alias("line")).alias("t"))
     rendered = rows.join(kept.select("conv"), "conv", "left_semi").groupBy("conv").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "").alias("rendered"))
-    return kept.join(rendered, "conv").select(F.col("conv").alias(conv_col), F.col("n_turns").cast("long").alias("n_turns"), "n_snapshots", "rendered")
+    return kept.join(rendered, "conv").select(F.col("conv").alias(conv_col), "n_turns", "n_snapshots", "rendered")
