@@ -11,8 +11,8 @@
    different components are held against each other, so that pairs inside a group of copies
    are never listed.
 4. A pair is looked at further if it has enough lists in common and the sketch of the two
-   sets' union, made from both sketches, puts their similarity at DOUBT or more. It is a link
-   if the full sets confirm it.
+   sets' union, made from both sketches, puts their similarity at DOUBT or more (sets whole in
+   their sketches are decided there). It is a link if the full sets confirm it.
 
 Sets of up to SKETCH shingles are whole in their sketches. Let u be the union's size and d
 the shingles in one set only; links have d <= u / 5. The d cut the shared ones into at most d
@@ -20,7 +20,7 @@ the shingles in one set only; links have d <= u / 5. The d cut the shared ones i
 2 runs are common: rules 2 and 4 lose no link of these. For larger sets, each of the union's
 64 least hashes is in both with a chance of at least 0.8; that fewer than FEW of their runs of
 three are shared then has a chance near 2e-8 for a pair at exactly 0.8 (simulated), and that
-the estimate falls below DOUBT one below 1e-9.
+the estimate falls below DOUBT one near 1e-8.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from tessera.llm.components import components
 from tessera.llm.kernel import Words, mix, slices, strings
 
 SHINGLE = 2
-SKETCH, RUN, SMALL, FEW, DOUBT = 64, 3, 5, 3, 0.45
+SKETCH, RUN, SMALL, FEW, DOUBT = 64, 3, 5, 3, 0.5
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -154,27 +154,44 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
 
-def _estimate(a: str, b: str):
-    """Share of the union sketch's values that both have."""
+def _alike(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """Whether two sketches leave the pair a candidate: whole sets decide, others estimate by the
+    share of the union sketch's values that both have."""
+    both = F.size(F.array_intersect(a, b))
+    whole = 100 * both >= percent * (F.col(n_a) + F.col(n_b) - both)
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return both / F.greatest(F.size(union), F.lit(1))
+    estimate = F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.greatest(F.size(union), F.lit(1))
+    return F.when(F.greatest(n_a, n_b) <= SKETCH, whole).otherwise(estimate >= DOUBT)
+
+
+def _only(batches, shared):
+    words = shared.value
+    for batch in batches:
+        may = np.flatnonzero(bloom.test(words, batch.column(0).to_numpy(zero_copy_only=False)))
+        if len(may):
+            yield batch.take(pa.array(may))
+
+
+def _ids_filter(pairs: DataFrame):
+    """A broadcast filter of the ids in pairs (a, b); the joins that follow drop what else it lets through."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return pairs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id"))
 
 
 def _links(pairs: DataFrame, sketches: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are links."""
-    spark = pairs.sparkSession
+    pairs = session.materialize(pairs, "pairs")
+    wanted = _ids_filter(pairs)
+    near = sketches.mapInArrow(lambda it: _only(it, wanted), sketches.schema)
     doubtful = (
-        pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .where(_estimate("sa", "sb") >= DOUBT)
+        pairs.join(near.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        .join(near.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        .where(_alike("sa", "sb", "na", "nb", percent))
         .select("a", "b")
     )
-    doubtful = session.materialize(doubtful, "pairs")
-    ids = doubtful.select(F.col("a").alias("id")).unionByName(doubtful.select(F.col("b").alias("id"))).distinct()
-    shared = spark.sparkContext.broadcast(bloom.build(ids, "id"))
-    sets = source.where("id is not null").mapInArrow(lambda it: _sets_of(it, shared, k), "id long, items binary").join(ids, "id", "left_semi")
-    sets = session.materialize(sets, "sets")
+    doubtful = session.materialize(doubtful, "doubtful")
+    wanted_sets = _ids_filter(doubtful)
+    sets = session.materialize(source.where("id is not null").mapInArrow(lambda it: _sets_of(it, wanted_sets, k), "id long, items binary"), "sets")
     joined = doubtful.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     return session.materialize(joined.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
 
@@ -194,7 +211,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     all_docs = session.materialize(source.mapInArrow(lambda it: _sketches(it, k), "id long, n long, sig binary, sketch array<long>"), "sketches")
     linked = all_docs.where("id is not null and n > 0")
     same = session.materialize(linked.groupBy("sig").agg(F.min("id").alias("rep")), "same")
-    reps = linked.join(same.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi").select("id", "n", "sketch").dropDuplicates(["id", "n"])
+    reps = linked.join(same.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi").select("id", "n", "sketch")
     reps = session.materialize(reps, "reps")
 
     n_buckets = buckets or repeats.power_of_two(repeats.input_bytes(docs) / (1 << 21), 16, 1 << 20)
