@@ -39,6 +39,8 @@ from tessera.llm.kernel import Words, mix, slices, strings
 
 SHINGLE = 2
 SKETCH, RUN, SMALL, FEW, DOUBT = 64, 3, 5, 3, 0.5
+#: Documents whose sets a task compares with those of as many others.
+BLOCK = 128
 #: A link: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -142,16 +144,41 @@ def _sets_of(batches, shared, k: int):
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
 
 
-def _confirm(batches, percent: int):
-    for batch in batches:
-        left, right = batch.column("items_a"), batch.column("items_b")
-        ok = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
+def _confirm(percent: int):
+    def confirm(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for i, items in zip(sets["id"].to_pylist(), sets["items"].to_pylist()):
+            held.setdefault(i, []).append(np.frombuffer(items, np.uint64))
+
+        def linked(x: np.ndarray, y: np.ndarray) -> bool:
             both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-        keep = pa.array(np.flatnonzero(ok))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        ok = [any(linked(x, y) for x in held.get(a, ()) for y in held.get(b, ())) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())]
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return confirm
+
+
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(id, block): documents with a common least partner together, some BLOCK of them at most."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    label = ends.groupBy("id").agg(F.least(F.min("other"), F.min("id")).alias("label"))
+    parts = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return label.join(parts, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike enough.
+
+    Pairs are put together by the blocks of their two documents, so that a set goes once to
+    each pair of blocks, not to each pair of documents; a task holds the sets of two blocks.
+    """
+    blocks = session.materialize(_blocks(pairs), "blocks")
+    placed = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
+    placed = placed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b")
+    needed = placed.select("x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    return placed.groupBy("x", "y").cogroup(needed.groupBy("x", "y")).applyInArrow(_confirm(percent), "a long, b long")
 
 
 def _alike(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
@@ -192,8 +219,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, source: DataFrame, k: int, per
     doubtful = session.materialize(doubtful, "doubtful")
     wanted_sets = _ids_filter(doubtful)
     sets = session.materialize(source.where("id is not null").mapInArrow(lambda it: _sets_of(it, wanted_sets, k), "id long, items binary"), "sets")
-    joined = doubtful.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    return session.materialize(joined.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "links")
+    return session.materialize(_compare(doubtful, sets, percent), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
