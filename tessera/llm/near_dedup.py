@@ -176,9 +176,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     blocks = session.materialize(_blocks(pairs), "blocks")
     placed = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
-    placed = placed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b")
-    needed = placed.select("x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
-    return placed.groupBy("x", "y").cogroup(needed.groupBy("x", "y")).applyInArrow(_confirm(percent), "a long, b long")
+    placed = session.materialize(placed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "placed")
+    needed = placed.select(F.col("x").alias("u"), F.col("y").alias("w"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    return placed.groupBy("x", "y").cogroup(needed.groupBy("u", "w")).applyInArrow(_confirm(percent), "a long, b long")
 
 
 def _alike(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
