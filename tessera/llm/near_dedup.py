@@ -240,7 +240,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     reps = linked.join(same.select(F.col("rep").alias("id"), "sig"), ["id", "sig"], "left_semi").select("id", "n", "sketch")
     reps = session.materialize(reps, "reps")
 
-    n_buckets = buckets or repeats.power_of_two(repeats.input_bytes(docs) / (1 << 21), 16, 1 << 20)
+    n_buckets = buckets or repeats.power_of_two(repeats.input_bytes(docs, text_col) / (1 << 21), 16, 1 << 20)
     log_buckets = n_buckets.bit_length() - 1
     shared = spark.sparkContext.broadcast(repeats.collect(reps.mapInArrow(lambda it: _send_runs(it, log_buckets), repeats.SENT), n_buckets))
     entries = session.materialize(reps.mapInArrow(lambda it: _entries(it, shared, log_buckets), "value long, id long, n long"), "entries")

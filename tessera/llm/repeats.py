@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.kernel import splitmix
 
@@ -27,9 +28,16 @@ def power_of_two(x: float, low: int, high: int) -> int:
     return min(max(1 << max(int(x) - 1, 0).bit_length(), low), high)
 
 
-def input_bytes(df: DataFrame) -> float:
-    """Spark's estimate of what a table reads; only speed may depend on it."""
-    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def input_bytes(df: DataFrame, text_col: str = "text") -> float:
+    """Bytes of the files that a table reads; of a table without files, those of its texts.
+
+    Only speed may depend on it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if size < 1 << 60:  # Spark's own stand-in for an unknown size is above
+        return size
+    return float(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
 def short_keys(keys: np.ndarray, log_buckets: int) -> np.ndarray:

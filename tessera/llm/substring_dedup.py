@@ -35,9 +35,9 @@ WINDOW, BLOCK = 13, 7
 NO_ID = (1 << 63) - 1
 
 
-def bucket_counts(docs: DataFrame) -> tuple[int, int]:
+def bucket_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Buckets of the two shuffles; only speed depends on them."""
-    size = repeats.input_bytes(docs)
+    size = repeats.input_bytes(docs, text_col)
     return repeats.power_of_two(size / (1 << 19), 16, 1 << 20), repeats.power_of_two(size / (1 << 23), 8, 1 << 24)
 
 
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     session.ship_code(spark)
     block = (window + 1) // 2
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first, second = buckets or bucket_counts(docs)
+    first, second = buckets or bucket_counts(docs, text_col)
     shared = spark.sparkContext.broadcast(anchor_filter(source, first, window, block))
     log_second = second.bit_length() - 1
     sent = source.mapInArrow(lambda it: _send_windows(it, shared, log_second, window, block), "bucket long, keys binary, ids binary")

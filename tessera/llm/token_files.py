@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.llm import repeats
 from tessera.llm.kernel import slices, strings
 
 MAGIC = b"TSRTOK01"
@@ -311,7 +312,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_co
     session.ship_code(spark)
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     if shards is None:
-        shards = max(1, round(float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) / (16 << 20)))
+        shards = max(1, round(repeats.input_bytes(docs, text_col) / (16 << 20)))
     folder = folder or session.scratch_path(spark, "tokens")
     edges = shard_edges(docs, id_col, shards)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
