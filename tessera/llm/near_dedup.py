@@ -10,9 +10,9 @@
    most of them); links found join into components. Then pairs in a common list but in
    different components are held against each other, so that pairs inside a group of copies
    are never listed.
-4. A pair is looked at further if it has enough lists in common and the sketch of the two
-   sets' union, made from both sketches, puts their similarity at DOUBT or more (sets whole in
-   their sketches are decided there). It is a link if the full sets confirm it.
+4. A pair is looked at further if it has enough lists in common. Its two sets come together
+   block by block; the sketch of their union, made from both sketches, estimates their
+   similarity, and where that is DOUBT or more the full sets decide.
 
 Sets of up to SKETCH shingles are whole in their sketches. Let u be the union's size and d
 the shingles in one set only; links have d <= u / 5. The d cut the shared ones into at most d
@@ -151,6 +151,11 @@ def _confirm(percent: int):
             held.setdefault(i, []).append(np.frombuffer(items, np.uint64))
 
         def linked(x: np.ndarray, y: np.ndarray) -> bool:
+            # A set's first values are its sketch; the union's are among those of both.
+            union = np.union1d(x[:SKETCH], y[:SKETCH])[:SKETCH]
+            shared = len(np.intersect1d(np.intersect1d(union, x[:SKETCH], assume_unique=True), y[:SKETCH], assume_unique=True))
+            if max(len(x), len(y)) > SKETCH and shared < DOUBT * len(union):
+                return False
             both = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -181,45 +186,13 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("x", "y").cogroup(needed.groupBy("u", "w")).applyInArrow(_confirm(percent), "a long, b long")
 
 
-def _alike(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
-    """Whether two sketches leave the pair a candidate: whole sets decide, others estimate by the
-    share of the union sketch's values that both have."""
-    both = F.size(F.array_intersect(a, b))
-    whole = 100 * both >= percent * (F.col(n_a) + F.col(n_b) - both)
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    estimate = F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.greatest(F.size(union), F.lit(1))
-    return F.when(F.greatest(n_a, n_b) <= SKETCH, whole).otherwise(estimate >= DOUBT)
-
-
-def _only(batches, shared):
-    words = shared.value
-    for batch in batches:
-        may = np.flatnonzero(bloom.test(words, batch.column(0).to_numpy(zero_copy_only=False)))
-        if len(may):
-            yield batch.take(pa.array(may))
-
-
-def _ids_filter(pairs: DataFrame):
-    """A broadcast filter of the ids in pairs (a, b); the joins that follow drop what else it lets through."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return pairs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id"))
-
-
-def _links(pairs: DataFrame, sketches: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are links."""
+def _links(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are links; only the sets of documents in pairs are shuffled."""
     pairs = session.materialize(pairs, "pairs")
-    wanted = _ids_filter(pairs)
-    near = sketches.mapInArrow(lambda it: _only(it, wanted), sketches.schema)
-    doubtful = (
-        pairs.join(near.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(near.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .where(_alike("sa", "sb", "na", "nb", percent))
-        .select("a", "b")
-    )
-    doubtful = session.materialize(doubtful, "doubtful")
-    wanted_sets = _ids_filter(doubtful)
-    sets = session.materialize(source.where("id is not null").mapInArrow(lambda it: _sets_of(it, wanted_sets, k), "id long, items binary"), "sets")
-    return session.materialize(_compare(doubtful, sets, percent), "links")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    shared = pairs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id"))  # joins drop what else it lets through
+    sets = session.materialize(source.where("id is not null").mapInArrow(lambda it: _sets_of(it, shared, k), "id long, items binary"), "sets")
+    return session.materialize(_compare(pairs, sets, percent), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
@@ -256,21 +229,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     hubs = entries.groupBy("value").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("hub")).where("c > 1").select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     by_hub = entries.join(hubs, "value").where("id <> hub").where(near("n", "hub_n")).groupBy("id", "n", "hub", "hub_n").agg(F.count("*").alias("c")).where(enough("c", "n", "hub_n"))
     first = by_hub.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    links = _links(first, reps, source, k, percent)
+    links = _links(first, source, k, percent)
 
     found = session.materialize(components(links.unionByName(_same_ids(linked, same))), "found")
     labelled = entries.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     labelled = session.materialize(labelled.join(mixed, "value", "left_semi"), "labelled")
-    parts = labelled.groupBy("value", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = (parts.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("component", "least", "most"))) for s in "ab")
+    parts = labelled.groupBy("value", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.min("id").alias("id"))
+    left, right = (parts.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("component", "least", "most", "members", "id"))) for s in "ab")
     # Pairs of components first, then their members: pairs inside a component never arise.
     between = left.join(right, "value").where("component_a < component_b").where((100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a")))
+    pair = [F.col("id_a"), F.col("n_a"), F.col("id_b"), F.col("n_b")]
+    single = F.col("members_a") + F.col("members_b") == 2
+    alone = between.where(single).withColumnsRenamed({"least_a": "n_a", "least_b": "n_b"}).select(pair)
     a, b = (labelled.select("value", F.col("component").alias(f"component_{s}"), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    across = between.select("value", "component_a", "component_b").join(a, ["value", "component_a"]).join(b, ["value", "component_b"]).where(near("n_a", "n_b"))
+    groups = between.where(~single).select("value", "component_a", "component_b").join(a, ["value", "component_a"]).join(b, ["value", "component_b"]).select(pair)
+    across = alone.unionByName(groups).where(near("n_a", "n_b"))
     counted = across.groupBy("id_a", "n_a", "id_b", "n_b").agg(F.count("*").alias("c")).where(enough("c", "n_a", "n_b"))
     second = counted.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).join(first, ["a", "b"], "left_anti")
-    more = _links(second, reps, source, k, percent)
+    more = _links(second, source, k, percent)
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     rep_of = same.join(found, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
