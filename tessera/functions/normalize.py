@@ -15,9 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that become spaces, by their length in UTF-8.
-PUNCTUATION_1 = ",.:;-_\"!\n\t#%&*/?@\\()[]{}|=^$'"
-PUNCTUATION_2 = "".join(map(chr, (0xAB, 0xBB, *range(0x55A, 0x560), 0x589, 0x609, 0x60A, 0xBF, 0xB7, 0xB6, 0xA7, 0xA1, 0xA3)))
-PUNCTUATION_3 = "".join(map(chr, (*range(0x2010, 0x2016), 0x2E17, 0x2E3A, 0x2E3B, 0x2E40, 0x301C, 0x201F, 0x3030, 0x30A0, 0xFE31, 0xFE32, 0xFE58, 0xFE63, 0xFF0D, 0x2018, 0x2019, 0x201B, 0x201C, 0x201D, 0x2E1A, 0x2039, 0x203A, 0x201E, 0x201A, 0x2045, 0x2046, 0x3008, 0x3009, 0x2308, 0x2309, 0x230A, 0x230B, 0xFF3F)))
+PUNCTUATION_1 = "\t\n!\"#$%&'()*,-./:;=?@[\\]^_{|}"
+PUNCTUATION_2 = "".join(map(chr, (0xA1, 0xA3, 0xA7, 0xAB, 0xB6, 0xB7, 0xBB, 0xBF, *range(0x55A, 0x560), 0x589, 0x609, 0x60A)))
+PUNCTUATION_3 = "".join(map(chr, (*range(0x2010, 0x2016), *range(0x2018, 0x2020), 0x2039, 0x203A, 0x2045, 0x2046, *range(0x2308, 0x230C), 0x2E17, 0x2E1A, 0x2E3A, 0x2E3B, 0x2E40, 0x3008, 0x3009, 0x301C, 0x3030, 0x30A0, 0xFE31, 0xFE32, 0xFE58, 0xFE63, 0xFF0D, 0xFF3F)))
 PUNCTUATION = PUNCTUATION_1 + PUNCTUATION_2 + PUNCTUATION_3
 
 #: C-locale white space.

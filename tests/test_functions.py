@@ -12,7 +12,7 @@ from tessera.functions import normalize as nz
 from tessera.functions.stem import stem
 from tessera.operators import index as ix
 
-TWINKLE = "Twinkle, twinkle, little bat! How I wonder what you're at! Up above the world you fly, Like a tea-tray in the sky."
+TWINKLE = " ".join(["Twinkle, twinkle, little bat!", "How I wonder what you're at!", "Up above the world you fly,", "Like a tea-tray in the sky."])
 
 
 def one(spark, value, expression):
@@ -20,22 +20,22 @@ def one(spark, value, expression):
 
 
 def test_punctuation_keeps_byte_length(spark):
-    text = "Ei fu. Siccome immobile,, dato il mortal sospiro ¶ paragrafo ⸻ inciso lungo ⸻ fine."
+    text = "Nel mezzo,, del cammin. ¶ nuovo ⸻ molto lungo ⸻ fine."
     got = one(spark, text, nz.strip_punctuation)
     assert len(got.encode()) == len(text.encode())
-    assert got.split() == "Ei fu Siccome immobile dato il mortal sospiro paragrafo inciso lungo fine".split()
+    assert got.split() == "Nel mezzo del cammin nuovo molto lungo fine".split()
 
 
 def test_terms_with_and_without_stop_words(spark):
     plain = one(spark, TWINKLE, lambda c: nz.terms(c, nz.NormalizerConfig.plain()))
-    assert plain == "twinkle twinkle little bat how i wonder what you re at up above the world you fly like a tea tray in the sky".split()
+    assert plain == [*"twinkle twinkle little bat how i wonder what".split(), *"you re at up above the world".split(), *"you fly like a tea tray in the sky".split()]
     kept = one(spark, TWINKLE, lambda c: nz.terms(c, nz.NormalizerConfig.english()))
     assert [stem(w) for w in kept] == "twinkl twinkl littl bat wonder world like tea tray sky".split()
 
 
 def test_double_encoding(spark):
-    raw = "AntonÃ­n DvorÃ¡k (1841â\u0080\u00931904) Antonin Dvorak was a son of butcher,"
-    assert one(spark, raw, nz.fix_encoding) == "Antonín Dvorák (1841–1904) Antonin Dvorak was a son of butcher,"
+    raw = "AntonÃ­n DvorÃ¡k (1841â\u0080\u00931904)"
+    assert one(spark, raw, nz.fix_encoding) == "Antonín Dvorák (1841–1904)"
     for same in ("café", "uk € Ã¡", "", "plain"):
         assert one(spark, same, nz.fix_encoding) == same
 
@@ -71,7 +71,7 @@ def test_stem_never_fails(word):
 
 def test_unary():
     data = bytes([0x03, 0x6E, 0x91, 0x75])
-    values = [3, 1, 1, 1, 1, 1, 1, 4, 3, 2, 1, 1, 2, 1, 3, 2, 4]
+    values = [3, *[1] * 6, *(4, 3, 2, 1), *(1, 2, 1), *(3, 2, 4)]
     assert codecs.unary_decode(data)[: len(values)] == values
     assert codecs.unary_decode(data, 3)[: len(values) - 1] == values[1:]
     assert codecs.unary_encode(values) == data
