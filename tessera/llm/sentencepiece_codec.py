@@ -34,9 +34,9 @@ from tessera.llm.kernel import slices, strings
 
 SPACE = "▁"
 #: Remembered segments, parts between spaces, and pairs of a worker, at most; then it starts afresh.
-CACHE = 400_000
+CACHE = 300_000
 PAIR_CACHE = 500_000
-PREFIX_CACHE = 1_200_000
+PREFIX_CACHE = 800_000
 #: Characters between two looks for a common boundary, and of the longest remembered segment.
 STEP = 64
 _RUNS = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|[^\w{SPACE}]+|[\d_]+|.", re.S)
