@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +62,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenizer(name: str) -> str:
     """The place of a public vocabulary file."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return os.path.join(TOKENIZERS, name)
-    return public_tokenizers.path(name)
+    if importlib.util.find_spec("public_tokenizers"):
+        return importlib.import_module("public_tokenizers").path(name)
+    return os.path.join(TOKENIZERS, name)
 
 
 @query("op6_token_files")
