@@ -7,10 +7,11 @@ data here). Its factors:
 * node: shape features of a token;
 * chain: labels of tokens next to each other;
 * skip: labels of tokens, however distant, with the same key (letters and digits only, in
-  lower case); each occurrence is tied to the one before it, so n copies make n - 1 factors.
+  lower case); each occurrence is tied straight to an observed one where there is any, else
+  to the one before it, so n copies make at most n - 1 factors.
 
 Tokens in base spans are observed with their kind. Sum-product messages pass over the graph,
-loops included, until they settle; a token that is not in a base span is added as a span of
+loops included, until they settle, however many rounds that takes; a token that is not in a base span is added as a span of
 its label if it is tied to an observed token and its marginal reaches CERTAIN. So the second mention of a number that only once
 stood in full form is found. Base spans are never changed.
 
@@ -21,6 +22,7 @@ FIT_DOCS documents, those of least hash, that hold a digit or an ``@``.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,10 @@ FIT_DOCS = 2_000
 CERTAIN = 0.9
 #: Letters and digits that a key needs to tie tokens.
 KEY_LENGTH = 7
+#: Messages have settled when none changes by more.
+SETTLED = 1e-4
+#: After so many rounds without progress the step is halved; below LEAST_STEP messages don't settle.
+PATIENCE, LEAST_STEP = 100, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -154,50 +160,86 @@ class Field:
     def scores(self, toks: list[Token]) -> np.ndarray:
         return np.array([self.node[list(t.shape)].sum(axis=0) for t in toks])
 
-    def marginals(self, toks: list[Token], observed: list[int], rounds: int = 20) -> np.ndarray:
-        """Label marginals of each token by loopy belief propagation; ``observed`` is a label or -1."""
-        n = len(toks)
+    def marginals(self, toks: list[Token], observed: list[int], rounds: int | None = None) -> np.ndarray:
+        """Label marginals of each token by loopy belief propagation; ``observed`` is a label or -1.
+
+        Messages pass until they settle (or for ``rounds``, if given). Should they not settle at
+        any step, ties between tokens that aren't observed are left out: those to observed
+        tokens close no loop, so the rest is a chain, on which messages are exact and settle.
+        """
         local = self.scores(toks)
         for i, y in enumerate(observed):
             if y >= 0:
                 local[i] = -30.0
                 local[i, y] = 0.0
-        edges = [(i, i + 1, self.chain) for i in range(n - 1)] + [(i, j, self.skip) for i, j in ties(toks)]
-        if edges:
-            a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
-            pot = np.stack([e[2] for e in edges])
-            source, target = np.concatenate((a, b)), np.concatenate((b, a))
-            pot = np.concatenate((pot, pot.transpose(0, 2, 1)))
-            back = np.concatenate((np.arange(len(a), 2 * len(a)), np.arange(len(a))))
-            sent = np.zeros((len(source), len(LABELS)))
-            for _ in range(rounds):
-                belief = local.copy()
-                np.add.at(belief, target, sent)
-                out = belief[source] - sent[back]
-                new = _logsumexp(out[:, :, None] + pot, 1)
-                new -= new.max(axis=1, keepdims=True)
-                new = 0.5 * sent + 0.5 * new
-                if np.abs(new - sent).max() < 1e-4:
-                    sent = new
-                    break
-                sent = new
-            local = local.copy()
-            np.add.at(local, target, sent)
+        chain = [(i, i + 1, self.chain) for i in range(len(toks) - 1)]
+        skip = [(i, j, self.skip) for i, j in ties(toks, observed)]
+        if chain:
+            got = _received(local, chain + skip, rounds)
+            if got is None:
+                got = _received(local, chain + [e for e in skip if max(observed[e[0]], observed[e[1]]) >= 0], rounds)
+            local = local if got is None else local + got
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
+def _received(local: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds: int | None) -> np.ndarray | None:
+    """The sum of the settled messages to each token; None if they don't settle."""
+    a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+    pot = np.stack([e[2] for e in edges])
+    source, target = np.concatenate((a, b)), np.concatenate((b, a))
+    pot = np.concatenate((pot, pot.transpose(0, 2, 1)))
+    back = np.concatenate((np.arange(len(a), 2 * len(a)), np.arange(len(a))))
+    sent = np.zeros((len(source), len(LABELS)))
+    step, least, stale, done = 0.5, np.inf, 0, 0
+    while rounds is None or done < rounds:
+        belief = local.copy()
+        np.add.at(belief, target, sent)
+        new = _logsumexp((belief[source] - sent[back])[:, :, None] + pot, 1)
+        new -= new.max(axis=1, keepdims=True)
+        change = np.abs(new - sent).max()
+        sent = (1 - step) * sent + step * new
+        done += 1
+        if change < SETTLED:
+            break
+        if change < 0.99 * least:
+            least, stale = change, 0
+        else:
+            stale += 1
+        if stale == PATIENCE:
+            step, least, stale = step / 2, np.inf, 0
+            if step < LEAST_STEP:
+                return None
+    got = np.zeros_like(local)
+    np.add.at(got, target, sent)
+    return got
+
+
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def ties(toks: list[Token]) -> list[tuple[int, int]]:
-    """Each token with the one before it of the same key."""
+def anchors(toks: list[Token], observed: list[int]) -> dict[int, int]:
+    """For tokens that aren't observed, an observed one of the same key: the last before, else the first after."""
+    of_key: dict[str, list[int]] = {}
+    for i, t in enumerate(toks):
+        if observed[i] >= 0 and len(t.key) >= KEY_LENGTH:
+            of_key.setdefault(t.key, []).append(i)
+    out = {}
+    for i, t in enumerate(toks):
+        if observed[i] < 0 and (found := of_key.get(t.key)):
+            out[i] = found[max(bisect(found, i) - 1, 0)]
+    return out
+
+
+def ties(toks: list[Token], observed: list[int]) -> list[tuple[int, int]]:
+    """Each token with its anchor; tokens of a key that is nowhere observed with the one before."""
+    anchor = anchors(toks, observed)
+    out = [(j, i) for i, j in anchor.items()]
     last: dict[str, int] = {}
-    out = []
     for i, t in enumerate(toks):
-        if len(t.key) >= KEY_LENGTH:
+        if observed[i] < 0 and i not in anchor and len(t.key) >= KEY_LENGTH:
             if t.key in last:
                 out.append((last[t.key], i))
             last[t.key] = i
@@ -277,8 +319,7 @@ def find(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
         return base, []
     label = _observed(toks, base)
     # Only a token that shares its key with an observed one can have its label changed by it.
-    seen = {t.key for t, v in zip(toks, label) if v >= 0 and len(t.key) >= KEY_LENGTH}
-    open_ = [i for i, t in enumerate(toks) if label[i] < 0 and t.key in seen]
+    open_ = list(anchors(toks, label))
     if not open_:
         return base, []
     p = field.marginals(toks, label)

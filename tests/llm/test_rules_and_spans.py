@@ -137,6 +137,32 @@ def test_messages_match_exact_marginals():
     assert np.allclose(field.marginals(toks, [-1] * 3, rounds=200), p / p.sum(1, keepdims=True), atol=1e-3)
 
 
+def field_against(bias):
+    """A field whose shapes speak for no label by ``bias``."""
+    k = len(pii.LABELS)
+    node = np.zeros((pii.N_SHAPES, k))
+    node[0, 0] = bias
+    return pii.Field(node, np.zeros((k, k)), pii.agreement(k))
+
+
+@pytest.mark.parametrize("bias", [0.0, 2.0, 3.0])
+def test_every_one_of_hundreds_of_repeats(bias):
+    text = "See 555-2652 first. " + "Then +1 (504) 555-2652 in full. " + "Again 555-2652, room 1234567. " * 400
+    base, more = pii.find(text, field_against(bias))
+    assert len(base) == 1 and {text[a:b] for _, a, b in more} == {"555-2652"} and {k for k, _, _ in more} == {"phone"}
+    assert len(more) == 401
+
+
+def test_messages_pass_until_they_settle():
+    field = field_against(0.0)
+    field.node[11, 3] = 6.0  # what speaks for a card at one end of the chain
+    field.chain += np.eye(len(pii.LABELS)) * 5
+    toks = pii.tokens("4111111111111111" + " a1" * 150)
+    free = [-1] * len(toks)
+    settled, long_run = field.marginals(toks, free), field.marginals(toks, free, rounds=3000)
+    assert np.allclose(settled, long_run, atol=1e-3) and not np.allclose(settled, field.marginals(toks, free, rounds=20), atol=1e-2)
+
+
 def test_entropy_windows():
     import math
     from collections import Counter
