@@ -2,12 +2,16 @@
 
 The base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. The
 field then labels the tokens that hold a digit or an ``@`` (no other token can be personal
-data here). Its factors:
+data here). A base span is one token, whatever white space it holds; groups of digits joined
+by spaces, dots, hyphens or brackets are one where, read together, they are the digits of a
+card or phone span, or one of the two is a long suffix of the other; what is left is cut at
+white space. Its factors:
 
 * node: shape features of a token;
 * chain: labels of tokens next to each other;
 * skip: labels of tokens, however distant, with the same key (letters and digits only, in
-  lower case); each occurrence is tied straight to an observed one where there is any, else
+  lower case), or of a number and a card or phone one of which is a suffix of the other. A
+  span counts with its own key and those of its parts between white space; each occurrence is tied straight to an observed one where there is any, else
   to the one before it, so n copies make at most n - 1 factors.
 
 Tokens in base spans are observed with their kind. Sum-product messages pass over the graph,
@@ -53,6 +57,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^ \t\n\x0b\x0c\r]*[0-9@][^ \t\n\x0b\x0c\r]*")
 _DIGIT = re.compile(r"[0-9]")
+_MARK = re.compile(r"[0-9@]")
+_GROUP = re.compile(r"(?<!\w)[0-9]+(?!\w)")
+_JOINT = re.compile(r"[ .()-]{1,3}")
+#: Digits that a card or phone span has at most.
+MOST_DIGITS = 19
 
 
 def luhn(digits: str) -> bool:
@@ -104,10 +113,15 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass(frozen=True)
 class Token:
+    """``others`` are further keys of a base span; ``numbers`` the digits of cards and phones in
+    it, or of joined groups."""
+
     start: int
     end: int
     key: str
     shape: tuple[int, ...]
+    others: tuple[str, ...] = ()
+    numbers: tuple[str, ...] = ()
 
 
 _KEY = re.compile(r"[^a-z0-9]+")
@@ -115,35 +129,139 @@ _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|"
 N_SHAPES = 18
 
 
-def tokens(text: str) -> list[Token]:
-    """Tokens with a digit or an ``@``, without the punctuation around them."""
+def _key(text: str) -> str:
+    return _KEY.sub("", text.lower())
+
+
+def _digits(text: str) -> str:
+    return "".join(_DIGIT.findall(text))
+
+
+def _shape(text: str, start: int, core: str, bracket: bool) -> tuple[int, ...]:
+    """Of ``core``; its token begins at ``start``, with a bracket or not."""
+    digits = _digits(core)
+    n = len(digits)
+    letters = any(c.isalpha() for c in core)
+    parts = core.split(".")
+    quad = len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) < 4 and int(x) < 256 for x in parts)
+    shape = [0]  # the constant
+    shape += [1] if "@" in core else []
+    shape += [2 + (n > 3) + (n > 6) + (n > 11) + (n > 19)]
+    shape += [7] if letters else [8]
+    shape += [9] if quad else []
+    shape += [10] if core[0] == "+" else []
+    shape += [11] if 12 <= n <= 19 and not letters and luhn(digits) else []
+    shape += [12] if core.count(".") == 3 else []
+    shape += [13] if "-" in core else []
+    shape += [14] if bracket else []
+    shape += [15] if start and text[max(0, start - 3) : start].strip()[-1:].isdigit() else []
+    shape += [16] if n == len(core) else []
+    shape += [17] if "@" in core and _DOMAIN.search(core) else []
+    return tuple(shape)
+
+
+def _piece(text: str, a: int, b: int) -> Token | None:
+    """The token between two places, without the punctuation around it."""
+    raw = text[a:b]
+    core = raw.strip(_EDGE)
+    if not core:
+        return None
+    start = a + raw.index(core)
+    return Token(start, start + len(core), _key(core), _shape(text, a, core, raw[:1] == "("))
+
+
+class Numbers:
+    """The digits of cards and phones: which digits are one of them, a long suffix of one, or end with one."""
+
+    def __init__(self) -> None:
+        self.whole: dict[str, list[int]] = {}
+        self.suffix: dict[str, list[int]] = {}
+
+    def add(self, digits: str, at: int) -> None:
+        if len(digits) >= KEY_LENGTH:
+            self.whole.setdefault(digits, []).append(at)
+            for k in range(len(digits) - KEY_LENGTH + 1):
+                self.suffix.setdefault(digits[k:], []).append(at)
+
+    def like(self, digits: str) -> tuple[int, list[int]]:
+        """How many digits of the two are the same, and the places; 0 if too few."""
+        for found in (self.whole, self.suffix):
+            if digits in found:
+                return len(digits), found[digits]
+        for n in range(min(len(digits) - 1, MOST_DIGITS), KEY_LENGTH - 1, -1):
+            if digits[-n:] in self.whole:
+                return n, self.whole[digits[-n:]]
+        return 0, []
+
+
+def _joined_numbers(text: str, taken: Taken, numbers: Numbers) -> list[Token]:
+    """Digit groups outside of base spans that together read like one of ``numbers``."""
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(text) if not taken.overlaps(m.start(), m.end())]
     out = []
-    for m in _TOKEN.finditer(text):
-        raw = m[0]
-        core = raw.strip(_EDGE)
-        if not core:
-            continue
-        start = m.start() + raw.index(core)
-        digits = "".join(_DIGIT.findall(core))
-        n = len(digits)
-        letters = any(c.isalpha() for c in core)
-        parts = core.split(".")
-        quad = len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) < 4 and int(x) < 256 for x in parts)
-        shape = [0]  # the constant
-        shape += [1] if "@" in core else []
-        shape += [2 + (n > 3) + (n > 6) + (n > 11) + (n > 19)]
-        shape += [7] if letters else [8]
-        shape += [9] if quad else []
-        shape += [10] if core[0] == "+" else []
-        shape += [11] if 12 <= n <= 19 and not letters and luhn(digits) else []
-        shape += [12] if core.count(".") == 3 else []
-        shape += [13] if "-" in core else []
-        shape += [14] if raw[:1] == "(" else []
-        shape += [15] if m.start() and text[max(0, m.start() - 3) : m.start()].strip()[-1:].isdigit() else []
-        shape += [16] if n == len(core) else []
-        shape += [17] if "@" in core and _DOMAIN.search(core) else []
-        out.append(Token(start, start + len(core), _KEY.sub("", core.lower()), tuple(shape)))
-    return out
+    last = len(groups) - 1
+    while last >= 0:
+        first, digits, same, best = last, "", 0, None
+        while True:
+            digits = text[groups[first][0] : groups[first][1]] + digits
+            n = numbers.like(digits)[0]
+            if n > same:  # another group must bring more of the number
+                same, best = n, (first, digits)
+            joint = first and text[groups[first - 1][1] : groups[first][0]]
+            if len(digits) >= MOST_DIGITS or not joint or not _JOINT.fullmatch(joint):
+                break
+            first -= 1
+        if best:
+            start, end = groups[best[0]][0], groups[last][1]
+            if text[start - 1 : start] == "(" and ")" in text[start:end]:
+                start -= 1
+            if start and text[start - 1] == "+":
+                start -= 1
+            out.append(Token(start, end, best[1], _shape(text, start, text[start:end], text[start] == "("), (), (best[1],)))
+            last = best[0]
+        last -= 1
+    return out[::-1]
+
+
+def tokens(text: str, spans: list[Span] | tuple[()] = ()) -> list[Token]:
+    """Base spans (those that overlap as one), numbers like theirs, and what else has a digit or an ``@``."""
+    whole: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if whole and a < whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], b)
+        else:
+            whole.append([a, b])
+    pieces = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    if not whole:
+        return [t for a, b in pieces if (t := _piece(text, a, b))]
+    starts = [a for a, _ in whole]
+    keys: list[list[str]] = [[] for _ in whole]
+    numbers, digits = Numbers(), [[] for _ in whole]
+    for kind, a, b in spans:
+        k = bisect(starts, a) - 1
+        keys[k].append(_key(text[a:b]))
+        if kind in ("card", "phone"):
+            digits[k].append(_digits(text[a:b]))
+            numbers.add(digits[k][-1], a)
+    ends = [b for _, b in whole]
+    for a, b in pieces:  # the parts of spans between white space, with what sticks to them
+        touched = range(bisect(ends, a), bisect(starts, b - 1))
+        if touched:
+            key = _key(text[a:b].strip(_EDGE))  # one copy, however many spans are in the piece
+            for k in touched:
+                keys[k].append(key)
+    out = [Token(a, b, _key(text[a:b]), _shape(text, a, text[a:b], text[a] == "("), tuple(keys[k]), tuple(digits[k])) for k, (a, b) in enumerate(whole)]
+    if numbers.whole:
+        out += _joined_numbers(text, Taken(list(spans)), numbers)
+        out.sort(key=lambda t: t.start)
+    starts, ends = [t.start for t in out], [t.end for t in out]
+    rest = []
+    for a, b in pieces:
+        for k in range(bisect(ends, a), bisect(starts, b - 1)):
+            rest.append((a, out[k].start))
+            a = out[k].end
+        rest.append((a, b))
+    out += [t for a, b in rest if a < b and _MARK.search(text, a, b) and (t := _piece(text, a, b))]
+    return sorted(out, key=lambda t: t.start)
 
 
 LABELS = ("O", *KINDS)
@@ -221,15 +339,23 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def anchors(toks: list[Token], observed: list[int]) -> dict[int, int]:
-    """For tokens that aren't observed, an observed one of the same key: the last before, else the first after."""
+    """For tokens that aren't observed, an observed one of the same key, or else one whose number
+    is like theirs: the last before, else the first after."""
     of_key: dict[str, list[int]] = {}
+    numbers = Numbers()
     for i, t in enumerate(toks):
-        if observed[i] >= 0 and len(t.key) >= KEY_LENGTH:
-            of_key.setdefault(t.key, []).append(i)
+        if observed[i] >= 0:
+            for key in {t.key, *t.others}:
+                if len(key) >= KEY_LENGTH:
+                    of_key.setdefault(key, []).append(i)
+            for digits in t.numbers:
+                numbers.add(digits, i)
     out = {}
     for i, t in enumerate(toks):
-        if observed[i] < 0 and (found := of_key.get(t.key)):
-            out[i] = found[max(bisect(found, i) - 1, 0)]
+        if observed[i] < 0:
+            found = of_key.get(t.key) or t.numbers and numbers.like(t.numbers[0])[1]
+            if found:
+                out[i] = found[max(bisect(found, i) - 1, 0)]
     return out
 
 
@@ -275,10 +401,14 @@ def train(texts: list[str], steps: int = 300) -> Field:
     labels: list[int] = []
     chain = np.full((k, k), 0.5)
     for text in texts:
-        toks = tokens(text)
-        y = [max(v, 0) for v in _observed(toks, base_spans(text))]
-        rows += [t.shape for t in toks]
-        labels += y
+        base = base_spans(text)
+        toks = tokens(text, base)
+        y = [max(v, 0) for v in _observed(toks, base)]
+        # Shapes are learned from the parts of spans as well, since later mentions look like parts.
+        parts = tokens(text)
+        whole = [(t, v) for t, v in zip(toks, y) if v and any(c.isspace() for c in text[t.start : t.end])]
+        rows += [t.shape for t in parts] + [t.shape for t, _ in whole]
+        labels += [max(v, 0) for v in _observed(parts, base)] + [v for _, v in whole]
         for i in range(len(y) - 1):
             chain[y[i], y[i + 1]] += 1
     node = np.zeros((N_SHAPES, k))
@@ -314,11 +444,11 @@ def find(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if field is None or not _DIGIT.search(text) and "@" not in text:
         return base, []
-    toks = tokens(text)
+    toks = tokens(text, base)
     if not toks:
         return base, []
     label = _observed(toks, base)
-    # Only a token that shares its key with an observed one can have its label changed by it.
+    # Only a token that is tied to an observed one can have its label changed by it.
     open_ = list(anchors(toks, label))
     if not open_:
         return base, []

@@ -153,6 +153,33 @@ def test_every_one_of_hundreds_of_repeats(bias):
     assert len(more) == 401
 
 
+@pytest.mark.parametrize("full", ["+1 504 555 2652", "+15045552652", "+1 (504) 555-2652", "+1.504.555.2652"])
+@pytest.mark.parametrize("later", ["504 555 2652", "5045552652", "(504) 555-2652", "504.555.2652", "1-504-555-2652", "15045552652", "0015045552652", "555 2652", "5552652"])
+def test_similar_mentions(full, later):
+    text = f"Call {full} now. In 2020 {later}, not 504 555 2653, 555 2653, 12345552652, 12 2652 or x5045552652y. Tel:{later}"
+    base, more = pii.find(text, field_against(2.0))
+    assert [text[a:b] for _, a, b in base] == [full]
+    assert [(k, text[a:b]) for k, a, b in more] == [("phone", later)] * 2
+
+
+def test_similar_mentions_of_cards_mail_and_parts():
+    text = "4111 1111 1111 1111, jo.smith77@mail.example.com, +44 2079460958 12, 192.168.10.25. 1111 1111 1111, jo.smith77@mail,example.com, 2079460958, 168.10.25, room 1234567"
+    base, more = pii.find(text, field_against(2.0))
+    assert len(base) == 4 and [(k, text[a:b]) for k, a, b in more] == [("card", "1111 1111 1111"), ("email", "jo.smith77@mail,example.com"), ("phone", "2079460958")]
+
+
+def test_tokens_do_not_overlap():
+    rng = random.Random(4)
+    bits = [*"ab.@-_+ 0123456789()55\n", "4111 1111 1111 1111", "a@b.co", "10.0.0.1", "+1 (504) 555-2652", "504 555 2652", "5552652", "+411111111111111@b.co", "é"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        base = pii.base_spans(t)
+        toks = pii.tokens(t, base)
+        assert all(x.start < x.end for x in toks) and all(x.end <= y.start for x, y in zip(toks, toks[1:]))
+        assert all(any(x.start <= a and b <= x.end for x in toks) for _, a, b in base)
+        pii.find(t, field_against(1.0))
+
+
 def test_messages_pass_until_they_settle():
     field = field_against(0.0)
     field.node[11, 3] = 6.0  # what speaks for a card at one end of the chain
