@@ -135,6 +135,11 @@ def mojibake_fix(spark, sf_dir):
     return rows.select("raw", nz.fix_encoding(F.col("raw")).alias("fixed"))
 
 
+@query("mojibake_fix_documents")
+def mojibake_fix_documents(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", nz.fix_encoding(F.col("text")).alias("fixed"))
+
+
 @query("tokens", f"SELECT docid, term, count(*) AS n FROM ({_tokens('documents', 'doc_id', 'docid', False)}) GROUP BY ALL")
 def tokens(spark, sf_dir):
     return ix.tokens(collection(spark, sf_dir), nz.NormalizerConfig(stop_words=False)).groupBy("docid", "term").agg(F.count("*").alias("n"))

@@ -37,6 +37,26 @@ def test_queries_match_their_sql(spark, name):
     assert rows[0] == rows[1]
 
 
+def test_mojibake_of_whole_documents(spark, tmp_path):
+    from tessera.catalogue import _REPAIRS
+
+    def plain(t):
+        if t is None or not any("\x80" <= c <= "\xa0" or c == "\xad" for c in t):
+            return t
+        try:
+            return t.encode("latin-1").decode()
+        except UnicodeError:
+            return t
+
+    texts = [a for a, _ in _REPAIRS] + [None, "plain " * 5000 + "DvorÃ¡k Ã\xad", "no\xa0break", "â\x80\x93 and 漢", "Ã¡ but no control", "\xad", "two\nlines Ã\xa0"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.fixed for r in entry.queries()["mojibake_fix_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert [got[i] for i in range(len(_REPAIRS))] == [b for _, b in _REPAIRS]
+    assert "mojibake_fix_documents" not in entry.oracle_sql()
+
+
 def test_entry_without_the_llm_package(tmp_path):
     root = os.path.dirname(os.path.abspath(entry.__file__))
     code = (
