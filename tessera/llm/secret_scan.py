@@ -6,7 +6,9 @@ its character class (hexadecimal, or base64 and the like) sets the entropy that
 WINDOW characters must reach, as a class of few characters can't reach what another can. The
 window slides by one; counts, and with them the sum of c * log2(c), are updated by the
 character that comes and the one that goes. Windows that reach the threshold make up a span,
-unless the string is on the allow list (plain words, numbers, paths, dates, placeholders).
+unless the string is on the allow list (plain words, numbers, paths, dates). A part between
+separators that is a placeholder is cut out, and what is left on each side is looked at as a
+string of its own, so an ``example`` in a path or name hides no key beside it.
 Spans are added only beside base spans, which are never changed.
 """
 
@@ -35,15 +37,19 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 _IS_HEX = re.compile(r"[0-9a-fA-F]+\Z")
 
-#: A candidate that matches one of these as a whole is no secret.
+#: A candidate, or what placeholders leave of it, that matches one of these as a whole is no secret.
 ALLOW = (
     r"[^0-9]*",  # no digit: words, however long or joined
     r"[^A-Za-z]*",  # no letter: numbers, dates, rules of dashes
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # identifiers
     r"(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4})(?:[-_/+=](?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4})?)*",  # words and short numbers, joined
+)
+#: A part of a candidate (letters and digits between separators) that matches one of these as a whole is cut out.
+PLACEHOLDERS = (
     r"(?i:.*(?:example|placeholder|x{6}|0{8}).*)",
     r"(?:0123456789|[aA]bcdefghijklmnop|ABCDEFGHIJKLMNOP).*",
 )
+_PART = re.compile(r"[A-Za-z0-9]+")
 
 
 def high_windows(text: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -87,22 +93,46 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def entropy_spans(text: str, base: list[Span], allow: re.Pattern) -> list[Span]:
+def compiled(patterns: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?:{x})" for x in patterns) or r"(?!)", re.ASCII)
+
+
+_PLACEHOLDERS = compiled(PLACEHOLDERS)
+
+
+def _without_placeholders(word: str, placeholders: re.Pattern) -> list[tuple[int, int]]:
+    """What is left of ``word`` beside its placeholders, without the separators towards them."""
+    cuts = [(m.start(), m.end()) for m in _PART.finditer(word) if placeholders.fullmatch(m[0])]
+    out = []
+    for a, b in zip([0, *(e for _, e in cuts)], [*(x for x, _ in cuts), len(word)]):
+        while a and a < b and word[a] in "-_/+=":
+            a += 1
+        while b < len(word) and b > a and word[b - 1] in "-_/+":  # = may end a key
+            b -= 1
+        out.append((a, b))
+    return out
+
+
+def entropy_spans(text: str, base: list[Span], allow: re.Pattern, placeholders: re.Pattern = _PLACEHOLDERS) -> list[Span]:
     out: list[Span] = []
     taken = Taken(base)
     for m in _CANDIDATE.finditer(text):
-        word = m[0]
-        if allow.fullmatch(word):
+        if allow.fullmatch(m[0]):
             continue
-        kind = "hex" if _IS_HEX.match(word) else "base64"
-        for a, b in high_windows(word, THRESHOLDS[kind]):
-            if not taken.overlaps(m.start() + a, m.start() + b):
-                out.append(("entropy", m.start() + a, m.start() + b))
+        for start, end in _without_placeholders(m[0], placeholders):
+            word = m[0][start:end]
+            if len(word) < WINDOW or allow.fullmatch(word):
+                continue
+            kind = "hex" if _IS_HEX.match(word) else "base64"
+            for a, b in high_windows(word, THRESHOLDS[kind]):
+                a, b = m.start() + start + a, m.start() + start + b
+                if not taken.overlaps(a, b):
+                    out.append(("entropy", a, b))
     return out
 
 
-def _scan(batches, allow: tuple[str, ...]):
-    allowed = re.compile("|".join(f"(?:{x})" for x in allow) or r"(?!)", re.ASCII)
+def _scan(batches, allow: tuple[str, ...], placeholders: tuple[str, ...]):
+    allowed, cut = compiled(allow), compiled(placeholders)
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
         for text in batch.column(1).to_pylist():
@@ -111,15 +141,15 @@ def _scan(batches, allow: tuple[str, ...]):
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(digest(base, ORDER))
-            out["spans"].append(joined(base + entropy_spans(text, base, allowed), ORDER))
+            out["spans"].append(joined(base + entropy_spans(text, base, allowed, cut), ORDER))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items())], ["id", *out])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, placeholders: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
     """One row for each row of ``docs``: id, base counts by kind, base_sha256, and all spans.
 
     Null and empty texts have no spans (the hash is that of the empty string).
     """
     session.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(lambda it: _scan(it, allow), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lambda it: _scan(it, allow, placeholders), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)

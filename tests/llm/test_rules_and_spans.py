@@ -227,6 +227,19 @@ def test_secrets(spark):
     assert secret_scan.scan(spark.createDataFrame([], fx.SCHEMA)).count() == 0
 
 
+def test_placeholders_hide_no_key_beside_them():
+    allow = secret_scan.compiled(secret_scan.ALLOW)
+
+    def found(text):
+        return [text[a:b] for _, a, b in secret_scan.entropy_spans(text, [], allow)]
+
+    key, upper = "Xk29dPqLm38sVnQz71TbYcR4", "9F86D081884C7D659A2FEAA0C55AD015"
+    assert found(f"example_key={key}") == [f"key={key}"] and found(f"/srv/example/{key}") == [key] and found(f"{key}/placeholder") == [key]
+    assert found(f"0123456789-{key}/xxxxxx={key}_00000000") == [key, key] and found(f"example-{upper}") == [upper]
+    assert found(f"my{key}example") == found(f"0123456789{key}") == found("example/path/to/some_long_file-name01") == found("example_" + "a1" * 30) == []
+    assert found("Xk29dPqLm3/8sVnQz71Tb+YcR4") == ["Xk29dPqLm3/8sVnQz71Tb+YcR4"]
+
+
 def test_taken():
     t = Taken([("x", 2, 5), ("x", 10, 12)])
     assert [t.overlaps(a, b) for a, b in ((0, 2), (0, 3), (4, 9), (5, 10), (11, 20), (12, 13))] == [False, True, True, False, True, False]
