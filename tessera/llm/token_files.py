@@ -327,18 +327,20 @@ def _read(batches, most: int = 1 << 20):
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
             shard = Shard(path)
-            bounds = shard.bounds.decode()
-            a = 0
+            a, bounds = 0, [shard.boundary(0)]
             while a < shard.n_docs:
-                b = min(max(int(np.searchsorted(bounds, bounds[a] + most, "right")) - 1, a + 1), shard.n_docs)
-                ids = shard.ids(int(bounds[a]), int(bounds[b])).astype("<u4")
-                at = bounds[a : b + 1] - bounds[a]
-                crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+                while (b := a + len(bounds) - 1) < shard.n_docs and bounds[-1] <= bounds[0] + most:
+                    bounds.append(shard.boundary(b + 1))
+                if b > a + 1 and bounds[-1] > bounds[0] + most:
+                    b -= 1  # the last document begins the next batch
+                at = np.array(bounds[: b - a + 1], np.int64)
+                ids = shard.ids(int(at[0]), int(at[-1])).astype("<u4")
+                crc = [zlib.crc32(ids[i:j]) for i, j in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids[a:b], mask=shard.nulls[a:b]), pa.array(start + bounds[a:b]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
+                    [pa.array(shard.doc_ids[a:b], mask=shard.nulls[a:b]), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                     ["id", "start", "n_tokens", "ids_crc32"],
                 )
-                a = b
+                a, bounds = b, bounds[b - a :]
 
 
 def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -57,6 +57,25 @@ def test_token_files(spark, shards):
     assert shard.boundary(shard.n_docs) == shard.n_ids == first.n_ids
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 40, 1 << 20])
+def test_offsets_come_from_select(tmp_path, monkeypatch, most):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lengths = np.where(rng.random(700) < 0.2, 0, rng.integers(0, 30, 700))
+    rows = [rng.integers(0, 60_000, n).astype("<u2") for n in lengths]
+    path = f"file://{tmp_path}/a.tok"
+    writer = token_files.Writer(path, 2)
+    writer.add(np.arange(700), np.zeros(700, bool), lengths, [x.tobytes() for x in rows])
+    writer.close()
+    monkeypatch.setattr(token_files.EliasFano, "decode", lambda self: pytest.fail("boundaries were decoded as a whole"))
+    batches = list(token_files._read([pa.RecordBatch.from_pydict({"path": [path], "start": [5]})], most))
+    got = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    starts = 5 + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    assert got == [(i, s, n, zlib.crc32(x.astype("<u4").tobytes())) for i, (s, n, x) in enumerate(zip(starts.tolist(), lengths.tolist(), rows))]
+    assert all(b.num_rows == 1 or sum(b.column("n_tokens").to_pylist()) <= most for b in batches)
+
+
 def test_token_files_of_an_empty_table(spark):
     manifest = token_files.write(spark.createDataFrame([], fx.SCHEMA), WORD_BPE)
     assert manifest.count() == 0 and token_files.read(manifest).count() == 0
