@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,12 +12,17 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings for Python workers, where the session doesn't choose its own: batches of long texts stay small.
+WORKER_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers, whatever path the driver took it from."""
     sc = spark.sparkContext
+    for key, value in WORKER_SETTINGS.items():
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, value)
     if getattr(sc, "_tessera_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="tessera-code-")
@@ -33,11 +39,13 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; where unset, one of our own on this machine, if all tasks run here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(sc, "_tessera_scratch", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="tessera-scratch-")
@@ -47,8 +55,26 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark)}/tessera/{uuid.uuid4().hex}-{name}"
+    """A fresh path below the application's own part of the scratch folder."""
+    return f"{scratch_root(spark)}/tessera/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for table in tables:
+        path = table.__dict__.pop("_tessera_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the scratch folder; results not yet read go too."""
+    _delete(spark, f"{scratch_root(spark)}/tessera/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +83,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._tessera_path = path
+    return table
+
+
+def input_bytes(df: DataFrame) -> float:
+    """Bytes of the files that a table reads, 0 where that is unknown. Only speed may depend on it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 60 else 0.0  # Spark's own stand-in for an unknown size is above
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
