@@ -38,6 +38,29 @@ def vbyte_length(value: Column) -> Column:
     return F.greatest(F.ceil(F.length(F.bin(value)) / 7), F.lit(1)).cast("int")
 
 
+def _joined(hex_bytes: Column) -> Column:
+    return F.unhex(F.array_join(hex_bytes, ""))
+
+
+def vbyte_bytes(values: Column) -> Column:
+    """The code of an array of numbers from 0 on, without leaving the JVM."""
+
+    def groups(v: Column) -> Column:
+        last = vbyte_length(v) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(F.call_function("shiftright", v, i * 7).bitwiseAND(127) + F.when(i < last, 128).otherwise(0)), 2, "0"))
+
+    return _joined(F.flatten(F.transform(values, groups)))
+
+
+def unary_bytes(values: Column) -> Column:
+    """The code of an array of numbers from 1 on, without leaving the JVM."""
+    bits = F.array_join(F.transform(values, lambda v: F.concat(F.repeat(F.lit("1"), (v - 1).cast("int")), F.lit("0"))), "")
+    size = F.ceil(F.length(bits) / 8).cast("int")
+    padded = F.rpad(bits, size * 8, F.lit("0"))
+    byte = lambda i: F.lpad(F.conv(F.reverse(F.substring(padded, i * 8 - 7, F.lit(8))), 2, 16), 2, "0")
+    return _joined(F.transform(F.sequence(F.lit(1), size), byte))
+
+
 def unary_encode(values: list[int]) -> bytes:
     bits, n = 0, 0
     for v in values:

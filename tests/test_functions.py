@@ -123,3 +123,40 @@ def test_stem_pipeline(spark):
     docs = spark.createDataFrame([(1, TWINKLE)], "docid long, text string")
     got = {r.term: r.tf for r in ix.frequencies(docs, nz.NormalizerConfig.english()).collect()}
     assert got == {"twinkl": 2, "littl": 1, "bat": 1, "wonder": 1, "world": 1, "like": 1, "tea": 1, "tray": 1, "sky": 1}
+
+
+def test_codes_without_python_are_the_same(spark):
+    values = [10, 100, 1000, 10000, 0xCAFEBABE, 12345, 0xDEADBEEF, 0, 127, 128]
+    unary = [10, 20, 10, 1, 1, 1, 1, 8, 23, 1, 5, 1, 1]
+    row = spark.createDataFrame([(values, unary)], "v array<long>, u array<long>").select(codecs.vbyte_bytes(F.col("v")).alias("v"), codecs.unary_bytes(F.col("u")).alias("u")).first()
+    assert bytes(row.v) == codecs.vbyte_encode(values) and bytes(row.u) == codecs.unary_encode(unary)
+
+
+def test_scratch_is_shared_and_emptied(spark, tmp_path):
+    import os
+
+    from tessera import session
+
+    table = session.materialize(spark.range(5), "five")
+    path = table._tessera_path.removeprefix("file://")
+    assert os.path.isdir(path) and table.count() == 5
+    session.drop(table, table)
+    assert not os.path.exists(path)
+    other = session.materialize(spark.range(3), "three")._tessera_path.removeprefix("file://")
+    folder = os.path.dirname(other)
+    held = f"{folder}-held"
+    os.rename(folder, held)  # what other tests wrote
+    session.materialize(spark.range(3), "three")
+    session.clear(spark)
+    assert not os.path.exists(folder)
+    os.rename(held, folder)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Cluster)
