@@ -4,20 +4,29 @@ postings(term, docid, tf, dl)   one row for each term of a document, with the do
 doc_index(docid, docno, dl)     every document, those without terms too
 lexicon(term, df)
 and two numbers: documents and the sum of their lengths.
+
+A saved index is laid out by bucket of the term, in files sorted by term and document, and has
+score bounds besides: the greatest scores of each term in the lexicon, and those of each term
+in each range of ids in
+
+bounds(term, rng, n, bm25_ub, tfidf_ub)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.functions.normalize import NormalizerConfig, is_term, words
 from tessera.functions.stem import stem_column
 
-TERM_BUCKETS = 64
+#: Bytes of postings in a bucket and in a file of a saved index, and buckets at most.
+BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 64 << 20, 32 << 20, 1 << 14
+#: Document ids in a range that bounds are saved for.
+WIDTH = 1024
 #: Document ids in a range that is numbered on its own.
 RANGE = 1 << 16
 
@@ -31,6 +40,8 @@ class Index:
     doc_len_sum: int
     config: NormalizerConfig
     buckets: int = 0  # of a saved index; 0 if postings aren't laid out by bucket
+    bounds: DataFrame | None = None  # of a saved index
+    width: int = 0  # of the ranges that bounds are for
 
     @property
     def avgdl(self) -> float:
@@ -40,6 +51,17 @@ class Index:
         spark = self.postings.sparkSession
         return spark.createDataFrame([(self.n_docs, self.doc_len_sum, self.avgdl)], "n_docs long, doc_len_sum long, avgdl double")
 
+    def placed(self, terms: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``terms`` with what the index's tables are joined by: of a saved one, the bucket too, so
+        that buckets without any of the terms aren't read."""
+        if not self.buckets:
+            return terms, ["term"]
+        return terms.withColumn("term_bucket", term_bucket(self.buckets)), ["term", "term_bucket"]
+
+
+def term_bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
 
 def tokens(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_col: str = "docid", text_col: str = "text") -> DataFrame:
     """(docid, term), a row for each occurrence, before stemming."""
@@ -76,28 +98,54 @@ def build(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_col
     return Index(postings, doc_index, lexicon, n, total, config)
 
 
-def save(index: Index, path: str, buckets: int = TERM_BUCKETS) -> Index:
-    """Write the tables below ``path``; postings by bucket of the term, sorted by term and document."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    by_bucket = index.postings.withColumn("term_bucket", bucket).repartition(buckets, "term_bucket").sortWithinPartitions("term_bucket", "term", "docid")
-    by_bucket.write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
+def save(index: Index, path: str, buckets: int | None = None, width: int = WIDTH) -> Index:
+    """Write the tables below ``path``, postings, lexicon and bounds by bucket of the term.
+
+    Files are cut by ranges of bucket, term and document, so a term that is in most documents
+    fills many of them, and no task sorts its whole list.
+    """
+    from tessera.operators.bounds import range_bounds, term_sigma  # which read an Index
+
+    size = session.input_bytes(index.postings)
+    buckets = buckets or min(max(1 << (int(size / BUCKET_BYTES)).bit_length(), 16), MOST_BUCKETS)
+    files = max(int(size / FILE_BYTES) + 1, 8)
+
+    def write(table: DataFrame, name: str, *order: str) -> None:
+        table = table.withColumn("term_bucket", term_bucket(buckets))
+        table.repartitionByRange(files, "term_bucket", *order).sortWithinPartitions("term_bucket", *order).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/{name}")
+
+    write(index.postings, "postings", "term", "docid")
     index.doc_index.write.mode("overwrite").parquet(f"{path}/doc_index")
-    index.lexicon.withColumn("term_bucket", bucket).repartition(buckets, "term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/lexicon")
+    write(session.materialize(term_sigma(index), "sigma"), "lexicon", "term")
+    write(session.materialize(range_bounds(index, width), "bounds"), "bounds", "term", "rng")
     c = index.config
-    index.metadata().withColumns({"buckets": F.lit(buckets), "fix_encoding": F.lit(c.fix_encoding), "latin1_case": F.lit(c.latin1_case), "stop_words": F.lit(c.stop_words), "stem": F.lit(c.stem)}).write.mode("overwrite").parquet(f"{path}/metadata")
+    index.metadata().withColumns({"buckets": F.lit(buckets), "width": F.lit(width), "fix_encoding": F.lit(c.fix_encoding), "latin1_case": F.lit(c.latin1_case), "stop_words": F.lit(c.stop_words), "stem": F.lit(c.stem)}).write.mode("overwrite").parquet(f"{path}/metadata")
     return load(index.postings.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     m = spark.read.parquet(f"{path}/metadata").first()
     config = NormalizerConfig(m.fix_encoding, m.latin1_case, m.stop_words, m.stem)
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_index"), spark.read.parquet(f"{path}/lexicon"), m.n_docs, m.doc_len_sum, config, m.buckets)
+    by_bucket = "term_bucket int"
+    schemas = {
+        "postings": f"term string, docid long, tf long, dl long, {by_bucket}",
+        "lexicon": f"term string, df long, bm25_sigma double, tfidf_sigma double, {by_bucket}",
+        "bounds": f"term string, rng long, n long, bm25_ub double, tfidf_ub double, {by_bucket}",
+    }
+    tables = {k: spark.read.schema(v).parquet(f"{path}/{k}") for k, v in schemas.items()}  # an empty index has no files to read it from
+    return Index(tables["postings"], spark.read.parquet(f"{path}/doc_index"), tables["lexicon"], m.n_docs, m.doc_len_sum, config, m.buckets, tables["bounds"], m.width)
 
 
 def with_docids(docs: DataFrame, first: int = 1) -> DataFrame:
-    """Dense ids in source order, without moving the rows to one partition."""
-    schema = docs.select(F.lit(0).cast("long").alias("docid"), *docs.columns).schema
-    return docs.sparkSession.createDataFrame(docs.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0])), schema)
+    """Dense ids in source order, without moving the rows to one partition: rows are numbered in
+    the partition that they are read in, and the counts of the partitions before are added."""
+    rows = session.materialize(docs.withColumn("__tessera_at", F.monotonically_increasing_id()), "numbered")
+    part, low = F.shiftright("__tessera_at", 33), F.col("__tessera_at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__tessera_part")).agg(F.count("*").alias("n"))  # one row for each partition
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("__tessera_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("__tessera_part").alias("__tessera_p"), ahead.alias("__tessera_ahead"))
+    joined = rows.join(sizes, part == F.col("__tessera_p"))
+    return joined.select((low + F.col("__tessera_ahead") + first).alias("docid"), *(F.col(f"`{c}`") for c in docs.columns))
 
 
 def local_lexicon(index: Index, docs_per_part: int) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import BM25, TFIDF, idf
-from tessera.operators.bounds import range_bounds
-from tessera.operators.index import Index, stemmed, tokens
+from tessera.operators.bounds import range_bounds, term_sigma
+from tessera.operators.index import WIDTH, Index, stemmed, tokens
 
 K = 10
 #: What a bound may fall short of a score by, for rounding; ranks go by scores rounded to 6 digits.
@@ -22,20 +22,36 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     return rows.distinct()
 
 
-def _weighted(terms: DataFrame, index: Index) -> DataFrame:
-    return terms.join(index.lexicon.select("term", "df"), "term").select("qid", "term", "df", idf(F.lit(index.n_docs), F.col("df")).alias("idf"))
+def _weighted(terms: DataFrame, index: Index) -> tuple[DataFrame, list[str]]:
+    """Known terms with df and idf, and what they are joined with postings by."""
+    terms, keys = index.placed(terms)
+    return terms.join(index.lexicon.select(*keys, "df"), keys).select("qid", *keys, "df", idf(F.lit(index.n_docs), F.col("df")).alias("idf")), keys
 
 
 def scored_postings(terms: DataFrame, index: Index, scorer: BM25 | TFIDF = BM25()) -> DataFrame:
     """(qid, term, docid, score) of every posting of a query's terms."""
-    weighted = _weighted(terms, index)
-    keys = ["term"]
-    if index.buckets:  # the layout's partition column: partitions without a query term aren't read
-        weighted = weighted.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int"))
-        keys.append("term_bucket")
+    weighted, keys = _weighted(terms, index)
     return index.postings.join(weighted, keys).select("qid", "term", "docid", scorer(F.col("tf"), F.col("idf"), F.col("dl"), F.lit(index.avgdl)).alias("score"))
 
 
+def terms_by_sigma(terms: DataFrame, index: Index, scorer: BM25 | TFIDF = BM25()) -> DataFrame:
+    """(qid, place, term, sigma): the known terms of each query by their greatest score, least first."""
+    column = "bm25_sigma" if scorer.needs_length else "tfidf_sigma"
+    terms, keys = index.placed(terms)
+    sigma = index.lexicon if column in index.lexicon.columns else term_sigma(index)
+    if not set(keys) <= set(sigma.columns):
+        keys = ["term"]
+    found = terms.join(sigma.select(*keys, F.round(column, 6).alias("sigma")), keys)
+    return found.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("sigma", "term")).cast("long").alias("place"), "term", "sigma")
+
+
+def next_geq(wanted: DataFrame, index: Index) -> DataFrame:
+    """(qid, term, target, docid): for each row of (qid, term, target), the first document of the
+    term's list at or after ``target``; none if the list ends before."""
+    wanted, keys = index.placed(wanted)
+    return index.postings.join(wanted, keys).where(F.col("docid") >= F.col("target")).groupBy("qid", "term", "target").agg(F.min("docid").alias("docid"))
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(qid, docid, score, rank): greatest score rounded to 6 digits first, then the least id."""
     if k <= 0:
@@ -48,17 +64,17 @@ def _named(best: DataFrame, index: Index) -> DataFrame:
     return best.join(index.doc_index.select("docid", "docno"), "docid").select("qid", "docno", "docid", "rank", "score")
 
 
-def search(index: Index, queries: DataFrame, k: int = K, mode: str = "or", scorer: BM25 | TFIDF = BM25(), width: int = 1024, seed_ranges: int = 3) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = K, mode: str = "or", scorer: BM25 | TFIDF = BM25(), width: int | None = None, seed_ranges: int = 3) -> DataFrame:
     """(qid, docno, docid, rank, score) of the k best documents of each query.
 
     Modes: ``or`` any term; ``and`` all terms; ``and-lists`` all terms whose lists haven't
     ended before the document (see ``ended_lists``); ``pruned`` the answer of ``or``, scoring
-    only ranges of ids whose bounds can reach it. An unknown mode is ``or``. Queries without
-    known terms have no rows.
+    only ranges of ids (of ``width``; by default those that a saved index has bounds for) whose
+    bounds can reach it. An unknown mode is ``or``. Queries without known terms have no rows.
     """
     terms = query_terms(queries, index)
     if mode == "pruned":
-        return _named(pruned(index, terms, k, scorer, width, seed_ranges), index)
+        return _named(pruned(index, terms, k, scorer, width or index.width or WIDTH, seed_ranges), index)
     scores = scored_postings(terms, index, scorer).groupBy("qid", "docid").agg(F.sum("score").alias("score"), F.count("*").alias("matched"))
     if mode in ("and", "and-lists"):
         wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))  # unknown terms count
@@ -76,8 +92,8 @@ def ended_lists(terms: DataFrame, index: Index) -> DataFrame:
     Read literally, the conjunctive scan drops a list when it ends, and from there on asks
     only for the terms that are left.
     """
-    needed = terms.select("term").distinct()
-    last = index.postings.join(needed, "term").groupBy("term").agg(F.max("docid").alias("last"))
+    needed, keys = index.placed(terms.select("term").distinct())
+    last = index.postings.join(needed, keys).groupBy("term").agg(F.max("docid").alias("last"))
     ends = terms.join(last, "term", "left").groupBy("qid").agg(F.collect_list("last").alias("ends"), F.count("*").alias("n"))
     return ends.where(F.size("ends") == F.col("n")).select("qid", "ends")
 
@@ -85,8 +101,12 @@ def ended_lists(terms: DataFrame, index: Index) -> DataFrame:
 def pruned(index: Index, terms: DataFrame, k: int, scorer: BM25 | TFIDF, width: int, seed_ranges: int) -> DataFrame:
     """Top k by bounds: the ranges of greatest bound give a threshold, and ranges that reach it are scored."""
     column = "bm25_ub" if scorer.needs_length else "tfidf_ub"
-    bounds = range_bounds(index, width).select("term", "rng", F.col(column).alias("ub"))
-    by_range = terms.join(bounds, "term").groupBy("qid", "rng").agg(F.sum("ub").alias("ub"))
+    placed, keys = index.placed(terms)
+    if index.width != width:
+        bounds, keys = range_bounds(index, width), ["term"]
+    else:
+        bounds = index.bounds
+    by_range = placed.join(bounds.select(*keys, "rng", F.col(column).alias("ub")), keys).groupBy("qid", "rng").agg(F.sum("ub").alias("ub"))
     first = Window.partitionBy("qid").orderBy(F.col("ub").desc(), F.col("rng"))
     ranked = by_range.withColumn("place", F.row_number().over(first))
     postings = scored_postings(terms, index, scorer).withColumn("rng", F.expr(f"docid div {width}"))

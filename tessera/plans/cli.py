@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.normalize import NormalizerConfig
 from tessera.functions.scoring import scorer
@@ -33,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-s", "--score", default="bm25")
     s.add_argument("-a", "--algorithm", default="daat")
     s.add_argument("-r", "--run-name", default="TESSERA0")
+    s.add_argument("-t", "--threads", type=int, help="partitions of a search, where the session doesn't choose them itself")
     return p
 
 
@@ -45,14 +47,28 @@ def main(argv: list[str] | None = None) -> None:
         built = ix.save(ix.build(ix.with_docids(docs), config, docno_col="docno"), args.data)
         print(f"{built.n_docs} documents, {built.lexicon.count()} terms, {corrupt.count()} corrupt lines")
         return
+    if args.threads:
+        spark.conf.set("spark.sql.shuffle.partitions", str(args.threads))
     index = ix.load(spark, args.data)
-    queries = read_queries(spark, args.batch)[0] if args.batch else spark.createDataFrame([(i + 1, q) for i, q in enumerate(args.query) if q], "qid long, text string")
-    found = search(index, queries, args.top_k, MODES.get(args.algorithm, "or"), scorer(args.score))
-    if args.out:
-        write_run(found, args.out, args.run_name)
-    else:
-        for row in run_lines(found, args.run_name).orderBy("qid", "rank").toLocalIterator():
-            print(row.line)
+
+    def answer(queries: DataFrame) -> None:
+        found = search(index, queries, args.top_k, MODES.get(args.algorithm, "or"), scorer(args.score))
+        if args.out:
+            write_run(found, args.out, args.run_name)
+        else:
+            for row in run_lines(found, args.run_name).orderBy("qid", "rank").toLocalIterator():
+                print(row.line, flush=True)
+
+    def asked(first: int, *texts: str) -> DataFrame:
+        return spark.createDataFrame([(first + i, q) for i, q in enumerate(texts) if q], "qid long, text string")
+
+    if args.batch:
+        answer(read_queries(spark, args.batch)[0])
+    elif args.query:
+        answer(asked(1, *args.query))
+    else:  # a query on each line, until there are no more
+        for i, line in enumerate(sys.stdin, 1):
+            answer(asked(i, line.strip()))
 
 
 if __name__ == "__main__":

@@ -10,10 +10,11 @@ from tessera.functions.normalize import NormalizerConfig
 from tessera.functions.scoring import BM25, TFIDF
 from tessera.operators import bounds
 from tessera.operators import index as ix
-from tessera.operators.search import merge_parts, query_terms, search
+from tessera.operators.cursor import Cursor
+from tessera.operators.search import merge_parts, next_geq, query_terms, search, terms_by_sigma
 from tessera.operators.sorted_map import SortedMap
 from tessera.plans import cli
-from tessera.sources.collections import read_collection, read_queries, run_lines
+from tessera.sources.collections import read_buffer, read_collection, read_queries, run_lines
 from tessera.streaming.queries import answer, query_stream
 
 PLAIN = NormalizerConfig.plain()
@@ -118,6 +119,78 @@ def test_save_load_and_parts(spark, tmp_path):
     assert parts == {1: 0, 2: 0, 3: 1, 4: 2}
 
 
+def test_saved_bounds_prune_and_buckets_are_skipped(spark, tmp_path):
+    rows = docs(spark, *([f"common w{i} w{i % 7}" for i in range(200)] + ["common rare rare rare"]))
+    j = ix.save(ix.build(rows, PLAIN), str(tmp_path / "index"), buckets=16, width=8)
+    assert j.width == 8 and j.bounds.where("term = 'common'").count() == 26
+    q = asked(spark, "common rare w3", "w5 w6")
+    for scorer in (BM25(), TFIDF()):
+        want = {n: got(search(j, q, 5, "or", scorer), n) for n in (1, 2)}
+        for width in (None, 8, 64):
+            assert {n: got(search(j, q, 5, "pruned", scorer, width), n) for n in (1, 2)} == want
+    plan = search(j, asked(spark, "rare"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("dynamicpruning") >= 2  # postings and lexicon
+    sigmas = terms_by_sigma(query_terms(q, j), j).where("qid = 1").orderBy("place").collect()
+    assert [r.term for r in sigmas] == ["common", "w3", "rare"]
+    plain = terms_by_sigma(query_terms(q, j), ix.build(rows, PLAIN)).where("qid = 1").orderBy("place").collect()
+    assert plain == sigmas
+    wanted = spark.createDataFrame([(1, "w3", 5), (1, "w3", 4), (2, "w3", 202), (3, "nowhere", 0)], "qid long, term string, target long")
+    assert sorted((r.target, r.docid) for r in next_geq(wanted, j).collect()) == [(4, 4), (5, 11)]
+
+
+@pytest.mark.parametrize("saved", [False, True])
+def test_cursor_over_a_list(spark, tmp_path, saved):
+    i = ix.build(docs(spark, *("even" if n % 2 else "odd even odd" for n in range(25))), PLAIN)
+    if saved:
+        i = ix.save(i, str(tmp_path / "index"), buckets=4)
+    c = Cursor(i, "odd", block=4)
+    assert [(r.docid, r.tf, r.dl) for r in c] == [(n, 2, 3) for n in range(1, 26, 2)]
+    seen = Cursor(i, "odd", block=4)
+    steps = iter(seen)
+    assert [next(steps).docid, seen.next_geq(3).docid, seen.next_gt(3).docid, seen.next_geq(16).docid, next(steps).docid] == [1, 3, 5, 17, 19]
+    assert seen.next_geq(26) is None and Cursor(i, "odd").next_geq(25).docid == 25 and list(Cursor(i, "nowhere")) == []
+
+
+def test_lines_in_memory(spark):
+    rows = read_buffer(spark, "a\tone\ttwo\r\nno tab\n\nb\t".encode()).collect()
+    assert [tuple(r) for r in rows] == [("a", "one\ttwo", False), (None, "no tab", True), (None, "", True), ("b", "", False)]
+    assert read_buffer(spark, b"").count() == 0
+
+
+def test_dense_ids_follow_the_source(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("cast(id as string) as docno", "id as docid_", "'x' as n")
+    got = ix.with_docids(df, 5)
+    assert got.columns == ["docid", "docno", "docid_", "n"]
+    assert sorted((r.docid, r.docid_) for r in got.collect()) == [(i + 5, i) for i in range(1000)]
+    assert ix.with_docids(df.where("false")).count() == 0
+
+
+def test_archives_of_lines(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "c.tar.gz", "w:gz") as t:
+        for name, data in (("a.tsv", "x\tone two\nno tab\r\n"), ("b.tsv", "".join(f"d{i}\tword{i}\n" for i in range(25_000)))):
+            info = tarfile.TarInfo(name)
+            info.size = len(data.encode())
+            t.addfile(info, io.BytesIO(data.encode()))
+    found, corrupt = read_collection(spark, str(tmp_path / "c.tar.gz"))
+    assert found.count() == 25_001 and [r.line for r in corrupt.collect()] == ["no tab"]
+    assert found.where("docno in ('x', 'd24999')").orderBy("docno").collect() == [("d24999", "word24999"), ("x", "one two")]
+
+
+def test_queries_from_standard_input(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    ix.save(ix.build(docs(spark, *TEXTS), PLAIN), str(tmp_path / "data"))
+    monkeypatch.setattr("sys.stdin", io.StringIO("owl\n\nlynx owl\n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    cli.main(["search", str(tmp_path / "data"), "-k", "1", "-t", "2"])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [x.split()[:3] for x in capsys.readouterr().out.splitlines() if " Q0 " in x] == [["1", "Q0", "9"], ["3", "Q0", "9"]]
+
+
 def test_sorted_map(spark, tmp_path):
     one = [("corea", 1), ("zorro", 5), ("kkkkkkk", 50), ("pechino", 0), ("cisterna", 100)]
     two = [("corea", 4), ("banano", 5), ("ewew", 50), ("pacone", 0), ("pechino", 69), ("cisterna", 150)]
