@@ -2,8 +2,8 @@
 
 Documents are the collection (id and number ``doc_id``); the passages of ``benchmark`` are a
 batch of queries. Case is Latin-1, stop words are removed, terms aren't stemmed but where a
-query says so. The index tables are written once for each folder and session and then
-searched, as an index is.
+query says so. The index is built and saved once for each folder and session and then searched, as
+an index is.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from tessera.functions import codecs, scoring
 from tessera.functions import normalize as nz
 from tessera.operators import bounds
 from tessera.operators import index as ix
-from tessera.operators.search import query_terms, scored_postings, search, top_k
+from tessera.operators.search import next_geq, query_terms, scored_postings, search, terms_by_sigma, top_k
 from tessera.operators.sorted_map import SortedMap
-from tessera.session import read_table
-from tessera.sources.collections import run_lines
+from tessera.session import read_table, scratch_path
+from tessera.sources.collections import read_collection, run_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,10 +48,10 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opened(spark: SparkSession, sf_dir: str) -> ix.Index:
-    """The index of a folder's documents, built at first use in a session."""
+    """The index of a folder's documents, built and saved at first use in a session."""
     held = spark.sparkContext.__dict__.setdefault("_tessera_indexes", {})
     if sf_dir not in held:
-        held[sf_dir] = ix.build(collection(spark, sf_dir))
+        held[sf_dir] = ix.save(ix.build(collection(spark, sf_dir)), scratch_path(spark, "index"), width=WIDTH)
     return held[sf_dir]
 
 
@@ -120,24 +120,25 @@ def lower_latin1(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", nz.lower_latin1(F.col("text")).alias("lowered"))
 
 
-_REPAIRS = [
-    ("AntonÃ­n DvorÃ¡k (1841â\u0080\u00931904)", "Antonín Dvorák (1841–1904)"),
-    ("café", "café"),
-    ("uk € Ã¡", "uk € Ã¡"),
-    ("second half only: plain plain Ã ", "second half only: plain plain à"),
-    ("", ""),
-]
+_LATIN1_BYTES = "array_to_string(list_transform(string_split(text, ''), lambda c: printf('\\x%02X', ord(c))), '')"
 
 
-@query("mojibake_fix", "SELECT * FROM (VALUES " + ", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in _REPAIRS) + ") AS t(raw, fixed)")
+@query(
+    "mojibake_fix",
+    rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{{80}}-\x{{A0}}\x{{AD}}]') AND regexp_full_match(text, '(?s)[\x{{00}}-\x{{FF}}]*')
+  THEN coalesce(try(decode(({_LATIN1_BYTES})::BLOB)), text) ELSE text END AS fixed FROM documents""",
+)
 def mojibake_fix(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in _REPAIRS], "raw string")
-    return rows.select("raw", nz.fix_encoding(F.col("raw")).alias("fixed"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", nz.fix_encoding(F.col("text")).alias("fixed"))
 
 
-@query("mojibake_fix_documents")
-def mojibake_fix_documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", nz.fix_encoding(F.col("text")).alias("fixed"))
+@query("tsv_round_trip", "SELECT doc_id::VARCHAR AS docno, regexp_replace(coalesce(text, ''), '[\t\n\r]', ' ', 'g') AS text FROM documents")
+def tsv_round_trip(spark, sf_dir):
+    """The collection as tab-separated lines, written and read again."""
+    path = scratch_path(spark, "tsv")
+    one_line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\t\n\r]", " ")
+    collection(spark, sf_dir).select(F.concat_ws("\t", F.col("docid").cast("string"), one_line)).write.text(path)
+    return read_collection(spark, path)[0]
 
 
 @query("tokens", f"SELECT docid, term, count(*) AS n FROM ({_tokens('documents', 'doc_id', 'docid', False)}) GROUP BY ALL")
@@ -155,7 +156,53 @@ def query_terms_(spark, sf_dir):
     return query_terms(passages(spark, sf_dir), opened(spark, sf_dir))
 
 
-@query("stem_pipeline")
+_V, _NV = "[aeiouy]", "[^aeiouy]"
+
+
+def _cut(n: str | int) -> str:
+    return f"left(w, length(w) - {n})"
+
+
+def _map(pairs: str) -> str:
+    rows = [x.split(":") for x in pairs.split()]
+    return "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in rows) + "}"
+
+
+def _ending(pairs: str) -> str:
+    return f"regexp_extract(w, '({'|'.join(x.split(':')[0] for x in pairs.split())})$')"
+
+
+_SHORT = f"(regexp_matches(x, '^{_V}{_NV}$') OR regexp_matches(x, '{_NV}{_V}[^aeiouywxY]$'))"
+_STEP2 = "tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ational:ate ation:ate ator:ate alism:al aliti:al alli:al fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive biliti:ble bli:ble fulli:ful lessli:less ogi:og li:"
+_STEP3 = "tional:tion ational:ate alize:al icate:ic iciti:ic ical:ic ful: ness: ative:"
+_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion"
+_EXCEPTIONS = "skis:ski skies:sky dying:die lying:lie tying:tie idly:idl gently:gentl ugly:ugli early:earli only:onli singly:singl sky:sky news:news howe:howe atlas:atlas cosmos:cosmos bias:bias andes:andes"
+#: The English stemmer as a chain of tables over distinct terms (terms hold no apostrophes): w is the word so far.
+_STEMS = f"""marked AS (SELECT DISTINCT term, regexp_replace(regexp_replace(term, '^y', 'Y'), '({_V})y', '\\1Y', 'g') AS w FROM toks),
+one AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|arsen)') THEN 5 WHEN starts_with(w, 'commun') THEN 6
+  ELSE coalesce(nullif(length(regexp_extract(w, '(?s)^.*?{_V}{_NV}')), 0), length(w)) END AS r1 FROM marked),
+two AS (SELECT *, r1 + coalesce(nullif(length(regexp_extract(substr(w, r1 + 1), '(?s)^.*?{_V}{_NV}')), 0), length(w) - r1) AS r2 FROM one),
+s1a AS (SELECT * REPLACE (CASE WHEN w LIKE '%sses' THEN {_cut(2)} WHEN regexp_matches(w, 'ie[ds]$') THEN CASE WHEN length(w) > 4 THEN {_cut(2)} ELSE {_cut(1)} END
+  WHEN w LIKE '%s' AND NOT regexp_matches(w, '[us]s$') AND regexp_matches({_cut(2)}, '{_V}') THEN {_cut(1)} ELSE w END AS w) FROM two),
+held AS (SELECT *, w IN ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed') AS done, regexp_extract(w, '(eedly|eed|ingly|edly|ing|ed)$') AS e FROM s1a),
+bare AS (SELECT *, {_cut('length(e)')} AS x FROM held),
+s1b AS (SELECT term, r1, r2, done, CASE WHEN done OR e = '' THEN w WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(x) >= r1 THEN x || 'ee' ELSE w END
+  WHEN NOT regexp_matches(x, '{_V}') THEN w WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' WHEN regexp_matches(x, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(x, length(x) - 1)
+  WHEN r1 >= length(x) AND {_SHORT} THEN x || 'e' ELSE x END AS w FROM bare),
+s1c AS (SELECT * REPLACE (CASE WHEN NOT done AND regexp_matches(w, '(?s)^..*{_NV}[yY]$') THEN {_cut(1)} || 'i' ELSE w END AS w) FROM s1b),
+e2 AS (SELECT *, {_ending(_STEP2)} AS e FROM s1c),
+s2 AS (SELECT * EXCLUDE (e) REPLACE (CASE WHEN done OR e = '' OR length(w) - length(e) < r1 OR e = 'ogi' AND w NOT LIKE '%logi' OR e = 'li' AND NOT regexp_matches(w, '[cdeghkmnrt]li$') THEN w
+  ELSE {_cut('length(e)')} || {_map(_STEP2)}[e] END AS w) FROM e2),
+e3 AS (SELECT *, {_ending(_STEP3)} AS e FROM s2),
+s3 AS (SELECT * EXCLUDE (e) REPLACE (CASE WHEN done OR e = '' OR length(w) - length(e) < CASE WHEN e = 'ative' THEN r2 ELSE r1 END THEN w ELSE {_cut('length(e)')} || {_map(_STEP3)}[e] END AS w) FROM e3),
+e4 AS (SELECT *, {_ending(_STEP4)} AS e FROM s3),
+s4 AS (SELECT * EXCLUDE (e) REPLACE (CASE WHEN done OR e = '' OR length(w) - length(e) < r2 OR e = 'ion' AND NOT regexp_matches(w, '[st]ion$') THEN w ELSE {_cut('length(e)')} END AS w) FROM e4),
+e5 AS (SELECT *, {_cut(1)} AS x FROM s4),
+s5 AS (SELECT term, CASE WHEN NOT done AND w LIKE '%e' AND (length(x) >= r2 OR length(x) >= r1 AND NOT {_SHORT}) OR NOT done AND w LIKE '%ll' AND length(x) >= r2 THEN x ELSE w END AS w FROM e5),
+stems AS (SELECT term, CASE WHEN length(term) <= 2 THEN term ELSE coalesce({_map(_EXCEPTIONS)}[term], replace(w, 'Y', 'y')) END AS stem FROM s5)"""
+
+
+@query("stem_pipeline", f"WITH toks AS ({_tokens('documents', 'doc_id', 'docid')}), {_STEMS} SELECT docid, stem AS term, count(*) AS tf FROM toks JOIN stems USING (term) WHERE stem <> '' GROUP BY ALL")
 def stem_pipeline(spark, sf_dir):
     return ix.frequencies(collection(spark, sf_dir), nz.NormalizerConfig.english())
 
@@ -175,7 +222,7 @@ def doc_index(spark, sf_dir):
 
 @query("lexicon", f"WITH {_INDEX} SELECT term, df FROM lexicon")
 def lexicon(spark, sf_dir):
-    return opened(spark, sf_dir).lexicon
+    return opened(spark, sf_dir).lexicon.select("term", "df")
 
 
 @query("collection_stats", f"WITH {_INDEX} SELECT n_docs, doc_len_sum, round(avgdl, 6) AS avgdl FROM meta")
@@ -339,15 +386,50 @@ def range_bounds(spark, sf_dir):
 @query("map_find", f"WITH {_INDEX}, {_ASKED} SELECT term, df FROM lexicon WHERE term IN (SELECT term FROM qterms)")
 def map_find(spark, sf_dir):
     i = opened(spark, sf_dir)
-    return SortedMap(i.lexicon, "term").find_all(query_terms(passages(spark, sf_dir), i))
+    return SortedMap(i.lexicon.select("term", "df"), "term").find_all(query_terms(passages(spark, sf_dir), i))
 
 
-@query("vbyte_len", f"WITH {_INDEX} SELECT term, sum(greatest(1, ceil((floor(log2(greatest(docid, 1)::DOUBLE)) + 1) / 7)))::BIGINT AS docid_bytes FROM postings GROUP BY term")
-def vbyte_len(spark, sf_dir):
-    return opened(spark, sf_dir).postings.groupBy("term").agg(F.sum(codecs.vbyte_length(F.col("docid"))).alias("docid_bytes"))
+@query("terms_by_sigma", f"WITH {_SCORED}, {_ASKED}, s AS (SELECT term, round(max(bm25), 6) AS sigma FROM scored GROUP BY term) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY sigma, term) AS place, term, sigma FROM qterms JOIN s USING (term)")
+def terms_by_sigma_(spark, sf_dir):
+    i = opened(spark, sf_dir)
+    return terms_by_sigma(query_terms(passages(spark, sf_dir), i), i)
 
 
-@query("unary_bits", f"WITH {_INDEX} SELECT term, sum(tf)::BIGINT AS freq_bits, ceil(sum(tf) / 8.0)::BIGINT AS freq_bytes FROM postings GROUP BY term")
-def unary_bits(spark, sf_dir):
-    bits = F.sum("tf")
-    return opened(spark, sf_dir).postings.groupBy("term").agg(bits.alias("freq_bits"), F.ceil(bits / 8).cast("long").alias("freq_bytes"))
+@query("next_geq", f"WITH {_INDEX}, {_ASKED} SELECT qid, term, qid * 7 AS target, min(docid) AS docid FROM qterms JOIN postings USING (term) WHERE docid >= qid * 7 GROUP BY ALL")
+def next_geq_(spark, sf_dir):
+    i = opened(spark, sf_dir)
+    return next_geq(query_terms(passages(spark, sf_dir), i).withColumn("target", F.col("qid") * 7), i)
+
+
+# Codes: lists are coded by range of ids, so a frequent term's list is many short codes.
+
+_LISTS = f"{_INDEX}, lists AS (SELECT term, docid // {ix.RANGE} AS rng, list(docid ORDER BY docid) AS docids, list(tf ORDER BY docid) AS tfs FROM postings GROUP BY ALL)"
+
+
+def _lists(spark, sf_dir) -> DataFrame:
+    rows = opened(spark, sf_dir).postings.groupBy("term", F.expr(f"docid div {ix.RANGE}").alias("rng")).agg(F.array_sort(F.collect_list(F.struct("docid", "tf"))).alias("p"))
+    return rows.select("term", "rng", F.col("p.docid").alias("docids"), F.col("p.tf").alias("tfs"))
+
+
+@query(
+    "vbyte_round_trip",
+    f"""WITH {_LISTS}, bytes AS (SELECT term, rng, docids, flatten(list_transform(docids, lambda v: list_transform(range(0, greatest(1, ceil(length(bin(v)) / 7.0))::BIGINT), lambda i:
+  ((v >> (7 * i)::INT) & 127) + CASE WHEN i + 1 < greatest(1, ceil(length(bin(v)) / 7.0))::BIGINT THEN 128 ELSE 0 END))) AS b FROM lists)
+SELECT term, rng, len(b) AS n_bytes, array_to_string(list_transform(b, lambda x: printf('%02X', x)), '') AS code, array_to_string(docids, ',') AS decoded FROM bytes""",
+)
+def vbyte_round_trip(spark, sf_dir):
+    coded = _lists(spark, sf_dir).select("term", "rng", codecs.vbyte_bytes(F.col("docids")).alias("code"))
+    return coded.select("term", "rng", F.octet_length("code").cast("long").alias("n_bytes"), F.hex("code").alias("code"), F.array_join(codecs.vbyte_decode_column(F.col("code")), ",").alias("decoded"))
+
+
+@query(
+    "unary_round_trip",
+    f"""WITH {_LISTS}, bits AS (SELECT term, rng, tfs, array_to_string(list_transform(tfs, lambda v: repeat('1', v - 1) || '0'), '') AS x FROM lists),
+padded AS (SELECT term, rng, tfs, x || repeat('0', (-length(x)) & 7) AS x FROM bits),
+bytes AS (SELECT term, rng, tfs, list_transform(range(0, length(x) // 8), lambda i: list_sum(list_transform(range(0, 8), lambda j: (substr(x, i * 8 + j + 1, 1) = '1')::INT << j::INT))) AS b FROM padded)
+SELECT term, rng, len(b) AS n_bytes, array_to_string(list_transform(b, lambda v: printf('%02X', v::BIGINT)), '') AS code, array_to_string(tfs, ',') AS decoded FROM bytes""",
+)
+def unary_round_trip(spark, sf_dir):
+    coded = _lists(spark, sf_dir).select("term", "rng", F.size("tfs").alias("n"), codecs.unary_bytes(F.col("tfs")).alias("code"))
+    decoded = F.slice(codecs.unary_decode_column(F.col("code")), F.lit(1), F.col("n"))  # what pads the last byte reads as more values
+    return coded.select("term", "rng", F.octet_length("code").cast("long").alias("n_bytes"), F.hex("code").alias("code"), F.array_join(decoded, ",").alias("decoded"))

@@ -22,7 +22,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["tokens", "doc_index", "topk_or_bm25", "legacy_and", "topk_pruned_tfidf", "size_parts", "term_blocks", "trec_run"])
+@pytest.mark.parametrize("name", ["tokens", "doc_index", "topk_or_bm25", "legacy_and", "topk_pruned_tfidf", "size_parts", "term_blocks", "trec_run", "mojibake_fix", "tsv_round_trip", "terms_by_sigma", "next_geq", "vbyte_round_trip", "unary_round_trip", "stem_pipeline"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
@@ -38,7 +38,15 @@ def test_queries_match_their_sql(spark, name):
 
 
 def test_mojibake_of_whole_documents(spark, tmp_path):
-    from tessera.catalogue import _REPAIRS
+    import duckdb
+
+    repairs = [
+        ("AntonÃ\xadn DvorÃ¡k (1841â\x80\x931904)", "Antonín Dvorák (1841–1904)"),
+        ("café", "café"),
+        ("uk € Ã¡", "uk € Ã¡"),
+        ("second half only: plain plain Ã\xa0", "second half only: plain plain à"),
+        ("", ""),
+    ]
 
     def plain(t):
         if t is None or not any("\x80" <= c <= "\xa0" or c == "\xad" for c in t):
@@ -48,13 +56,15 @@ def test_mojibake_of_whole_documents(spark, tmp_path):
         except UnicodeError:
             return t
 
-    texts = [a for a, _ in _REPAIRS] + [None, "plain " * 5000 + "DvorÃ¡k Ã\xad", "no\xa0break", "â\x80\x93 and 漢", "Ã¡ but no control", "\xad", "two\nlines Ã\xa0"]
+    texts = [a for a, _ in repairs] + [None, "plain " * 5000 + "DvorÃ¡k Ã\xad", "no\xa0break", "â\x80\x93 and 漢", "Ã¡ but no control", "\xad", "two\nlines Ã\xa0"]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.fixed for r in entry.queries()["mojibake_fix_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.fixed for r in entry.queries()["mojibake_fix"](spark, str(tmp_path)).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
-    assert [got[i] for i in range(len(_REPAIRS))] == [b for _, b in _REPAIRS]
-    assert "mojibake_fix_documents" not in entry.oracle_sql()
+    assert [got[i] for i in range(len(repairs))] == [b for _, b in repairs]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.sql(entry.oracle_sql()["mojibake_fix"]).fetchall()) == got
 
 
 def test_entry_without_the_llm_package(tmp_path):
