@@ -7,14 +7,17 @@ final mix, so that two given sequences collide with a chance near 2**-57.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once: temporaries are some 60 times as large.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,6 +25,25 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+#: Of the C library, where it has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def turn_to(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where a worker begins a task: what it remembers for other operators is dropped, and
+    memory that tasks before have freed goes back to the machine. ``forget`` drops what the
+    worker will remember for this one."""
+    for name in [x for x in _HELD if x != owner]:
+        _HELD.pop(name)()
+        gc.collect()
+    if forget:
+        _HELD[owner] = forget
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64 values."""
     with np.errstate(over="ignore"):
