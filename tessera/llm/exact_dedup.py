@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import bloom
-from tessera.llm.kernel import strings
+from tessera.llm import places
+from tessera.llm.kernel import strings, turn_to
+from tessera.llm.places import FILE, ROW
 
 #: Bytes of a chunk. Sums of 2**16 products below 2**39 stay below 2**55.
 CHUNK = 1 << 16
@@ -63,6 +64,8 @@ def fingerprint(data: bytes) -> tuple[int, ...]:
 
 
 def _fingerprints(batches):
+    """id, text and what else a row carries, to the fingerprint, the length and the hash of the text."""
+    turn_to("exact_dedup")
     for batch in batches:
         data, offsets = strings(batch.column(1))
         hi, lo, size, sha = [], [], [], []
@@ -73,11 +76,12 @@ def _fingerprints(batches):
             lo.append(f[2] << 31 | f[3])
             size.append(len(x))
             sha.append(hashlib.sha256(x).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())], ["id", "f1", "f2", "size", "sha"])
+        rest = batch.columns[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), *rest], ["id", "f1", "f2", "size", "sha", *batch.schema.names[2:]])
 
 
-def _chunks(batches, words):
-    """Chunks of the texts whose key may be that of a group of several."""
+def _chunks(batches, length: int):
+    """The chunks of each text, with its key."""
     for batch in batches:
         data, offsets = strings(batch.column(1))
         out = {k: [] for k in ("f1", "f2", "size", "no", "chunk")}
@@ -86,20 +90,40 @@ def _chunks(batches, words):
             x = data[a:b].tobytes().translate(_TO_LOWER)
             f = fingerprint(x)
             f1, f2 = f[0] << 31 | f[1], f[2] << 31 | f[3]
-            if not bloom.test(words, np.array([f1 ^ f2]))[0]:
-                continue
-            for no, at in enumerate(range(0, max(len(x), 1), CHUNK)):
-                for k, v in zip(out, (f1, f2, len(x), no, x[at : at + CHUNK])):
+            for no, at in enumerate(range(0, max(len(x), 1), length)):
+                for k, v in zip(out, (f1, f2, len(x), no, x[at : at + length])):
                     out[k].append(v)
-                held += CHUNK if len(x) > CHUNK else len(x)
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_pydict(out, _CHUNK_SCHEMA)
-                out, held = {k: [] for k in out}, 0
+                held += min(len(x), length)
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_pydict(out, _CHUNK_SCHEMA)
+                    out, held = {k: [] for k in out}, 0
         if out["no"]:
             yield pa.RecordBatch.from_pydict(out, _CHUNK_SCHEMA)
 
 
 _CHUNK_SCHEMA = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("size", pa.int64()), ("no", pa.int64()), ("chunk", pa.binary())])
+_KEY = ["f1", "f2", "size"]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, sha, keep_id, group_size and place of each row of a located DataFrame."""
+    spark = docs.sparkSession
+    session.ship_code(spark)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *places.PLACE)
+    prints = session.materialize(source.mapInArrow(_fingerprints, f"id long, f1 long, f2 long, size long, sha string, {FILE} long, {ROW} long"), "prints")
+    sizes = session.materialize(prints.groupBy(*_KEY).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    joined = prints.join(sizes, _KEY)
+
+    # Compare: within a group, every chunk must have one value; equal chunks collapse before the shuffle.
+    several = places.Decisions.write(joined.where("group_size > 1").select(*places.PLACE, F.lit(1).alias("number")), docs, 0, text_col)
+    chunks = source.mapInArrow(lambda it: _chunks(several.chosen(it), CHUNK), "f1 long, f2 long, size long, no long, chunk binary")
+    unequal = chunks.groupBy(*_KEY, "no").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select(*_KEY).distinct()
+    unequal = session.materialize(unequal, "unequal")
+    if not unequal.isEmpty():  # different texts with one fingerprint: their groups are parted by the texts' SHA-256
+        same = prints.join(unequal, _KEY, "left_semi")
+        parted = same.join(same.groupBy(*_KEY, "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), [*_KEY, "sha"])
+        joined = joined.join(unequal, _KEY, "left_anti").unionByName(parted)
+    return joined.withColumn("kept", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,39 +133,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts the largest id stays. Rows that repeat an id are rows of their own: each counts in
     group_size, and all that carry the kept id are kept. A null id sorts below any other; if
     a group has none but null ids, its keep_id is null and its rows are kept. An empty table
-    gives an empty result.
+    gives an empty result. Other columns, whatever they are called, play no part. Texts may be
+    of any length: they are hashed and compared chunk by chunk.
     """
-    spark = docs.sparkSession
-    session.ship_code(spark)
-    key = ["f1", "f2", "size"]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = session.materialize(source.mapInArrow(_fingerprints, "id long, f1 long, f2 long, size long, sha string"), "prints")
-    sizes = session.materialize(prints.groupBy(*key).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-
-    # Compare: within a group, every chunk must have one value; equal chunks collapse before the shuffle.
-    several = sizes.where("group_size > 1")
-    words = bloom.build(several.select(F.col("f1").bitwiseXOR(F.col("f2")).alias("k")), "k")
-    shared = spark.sparkContext.broadcast(words)
-    chunks = source.mapInArrow(lambda it: _chunks(it, shared.value), "f1 long, f2 long, size long, no long, chunk binary")
-    unequal = chunks.groupBy(*key, "no").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select(*key).distinct()
-    unequal = session.materialize(unequal, "unequal")
-
-    joined = prints.join(sizes, key)
-    if unequal.isEmpty():
-        whole = joined
-    else:  # different texts with one fingerprint: their groups are formed on the text itself
-        same = prints.join(unequal, key, "left_semi")
-        texts = source.join(same.select("id", "sha").distinct(), "id", "left_semi").withColumn("text", F.coalesce("text", F.lit("")))
-        texts = texts.withColumn("low", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("sha", F.sha2("low", 256))
-        by_text = texts.groupBy("low", "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).drop("low")
-        whole = joined.join(unequal, key, "left_anti").unionByName(same.join(by_text, "sha"))
-    kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return whole.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    whole = _grouped(places.located(docs), id_col, text_col)
+    return whole.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one."""
-    kept = groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__tessera_id"), F.col("text_sha256").alias("__tessera_kept")).distinct()
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("__tessera_sha", F.sha2(lowered, 256)).join(kept, F.col(id_col).eqNullSafe(F.col("__tessera_id")) & (F.col("__tessera_sha") == F.col("__tessera_kept")), "left_semi")
-    return rows.dropDuplicates([id_col, "__tessera_sha"]).drop("__tessera_sha")
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts.
+
+    That of the largest id stays, as in ``groups``; of rows that repeat that id (or of null
+    ids, where the group has no other), the one first in file and row. Null and empty texts
+    are one group. An empty table stays empty, columns may have any names, and no text is
+    shuffled.
+    """
+    found = places.located(docs)
+    several = session.materialize(_grouped(found, id_col, text_col).where("group_size > 1").select(*_KEY, "sha", "kept", *places.PLACE), "several")
+    stays = several.where("kept").groupBy(*_KEY, "sha").agg(F.min(F.struct(*places.PLACE)).alias("p")).select("p.*")
+    return places.keep(found, several.join(stays, places.PLACE, "left_anti"), text_col).select(*(F.col(f"`{c}`") for c in docs.columns))
