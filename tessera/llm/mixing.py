@@ -10,15 +10,18 @@ source's other parts, until a last landing problem of at most two units a source
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import random
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.llm import places
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -41,7 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     size; the excess is shared again by weight. That is a level L with target =
     min(L * weight, cap): sources are sorted by cap / weight, and L is what is left for the
     sources from a place on, per weight, at the first place where it doesn't exceed the
-    ratio. The windows hold one row for each source, not its documents.
+    ratio. The windows run in one task and hold one row for each source, not its documents:
+    some 50 bytes, so a million sources are 50 MB.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     in_order = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -89,7 +93,8 @@ def fly(p: list[float], x: list[float], rng: random.Random) -> None:
 
 def land(p: list[float], x: list[float], goal: float) -> None:
     """Decide the few units left (nearest to ``goal`` words, then in documents), then mend what
-    they are off by: units are flipped, the largest that fits first, while that comes nearer."""
+    they are off by: one unit in and one out whose words differ by that (the number of documents
+    stays), as long as it helps, else single units, the largest that fits first."""
     left = [i for i, v in enumerate(p) if 0 < v < 1]
     fixed = sum(v * w for i, (v, w) in enumerate(zip(p, x)) if not 0 < v < 1)
     units = sum(p[i] for i in left)
@@ -97,23 +102,41 @@ def land(p: list[float], x: list[float], goal: float) -> None:
     for a, i in zip(best, left):
         p[i] = a
     off = goal - sum(v * w for v, w in zip(p, x))
+    while abs(off) > 0.5 and (swap := _swap(p, x, off)):
+        out, into = swap
+        p[out], p[into] = 0, 1
+        off -= x[into] - x[out]
     for i in sorted(range(len(p)), key=lambda i: (-x[i], i)):
         if 0 < x[i] and abs(off) > 0.5 and p[i] == (0 if off > 0 else 1) and x[i] <= abs(off):
             p[i] = 1 - p[i]
             off += x[i] if p[i] == 0 else -x[i]
 
 
+def _swap(p: list[float], x: list[float], off: float) -> tuple[int, int] | None:
+    """A taken unit and one that isn't whose exchange comes nearest to mending ``off``, if it does better than half."""
+    free = sorted((w, i) for i, (v, w) in enumerate(zip(p, x)) if v == 0)
+    best = (abs(off) / 2, None)
+    for out, (v, w) in enumerate(zip(p, x)):
+        if v == 1:
+            k = bisect.bisect_left(free, (w + off, -1))
+            for size, into in free[max(0, k - 1) : k + 1]:
+                if (rest := abs(off - (size - w))) < best[0]:
+                    best = (rest, (out, into))
+    return best[1]
+
+
 def _flight(level: int, last: bool):
-    def flight(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "rows"], ascending=[False, True, True], na_position="first").reset_index(drop=True)
-        source = pdf["source"].iat[0]
-        seed = hashlib.sha256(repr((None if pd.isna(source) else source, int(pdf["part"].iat[0]), level)).encode()).digest()
-        p, x = pdf["p"].tolist(), (pdf["size"] * pdf["rows"]).astype(float).tolist()
+    def flight(key: tuple, units: pa.Table) -> pa.Table:
+        units = units.take(pc.sort_indices(units, sort_keys=[("size", "descending"), ("doc_id", "ascending"), ("rows", "ascending")], null_placement="at_start"))
+        source, part = (k.as_py() for k in key)
+        seed = hashlib.sha256(repr((source, part, level)).encode()).digest()
+        p = units["p"].to_pylist()
+        x = pc.multiply(units["size"], units["rows"]).cast(pa.float64()).to_pylist()
         goal = sum(a * b for a, b in zip(p, x))
         fly(p, x, random.Random(seed))
         if last:
             land(p, x, goal)
-        return pdf.assign(p=[float(v) for v in p])
+        return units.set_column(units.schema.get_field_index("p"), "p", pa.array([float(v) for v in p]))
 
     return flight
 
@@ -134,7 +157,7 @@ def sample(units: DataFrame, flight_rows: int = FLIGHT_ROWS) -> DataFrame:
         counts = units.where(undecided).groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
         open_units = units.where(undecided).join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
         parts = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("doc_id", F.lit(level)), F.greatest(F.ceil(F.col("n") / flight_rows), F.lit(1)))
-        flown = open_units.withColumn("part", parts).drop("n").groupBy("source", "part").applyInPandas(_flight(level, last), f"{_UNIT}, part long").select(columns)
+        flown = open_units.withColumn("part", parts).drop("n").groupBy("source", "part").applyInArrow(_flight(level, last), f"{_UNIT}, part long").select(columns)
         flown = session.materialize(flown, f"flight{level}")
         decided.append(units.where(f"not ({undecided})") if level == 0 else units.where("false"))
         if last:
@@ -150,13 +173,12 @@ def sample(units: DataFrame, flight_rows: int = FLIGHT_ROWS) -> DataFrame:
 
 
 def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, flight_rows: int = FLIGHT_ROWS) -> DataFrame:
-    """From (doc_id, source, size): one row for each distinct (doc_id, source, size), with the
+    """From written sizes (doc_id, source, size): one row for each distinct (doc_id, source, size), with the
     number of such rows, source_size, target and ``copies``, how often the mix takes each.
 
     Equal rows are one unit. Empty documents count as units and carry no words; if no text
     has words, targets are 0 and nothing is taken.
     """
-    sizes = session.materialize(sizes, "sizes")
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     goal = targets(sizes, weights, total, most).withColumnRenamed("source", "of")
     units = units.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -169,25 +191,35 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TO
     return chosen.withColumn("copies", (whole + F.col("p")).cast("long")).drop("p")
 
 
-def sizes_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+def sizes_of(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *carry)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0, 1 or 2 times), with all their columns."""
+    """The rows of ``docs``, each as often as the mix takes it (0, 1 or 2 times), with all their columns.
+
+    Rows of one id, source and size, null ids among them, are taken alike. A null text has no
+    words, a null source is the last one. An empty table, or one without words, gives no rows.
+    Columns may have any names. Texts are read twice and never shuffled.
+    """
     session.ship_code(docs.sparkSession)
-    chosen = plan(sizes_of(docs, id_col, source_col, text_col), **options).where("copies > 0")
-    chosen = chosen.select(*(F.col(c).alias(f"__tessera_{c}") for c in ("doc_id", "source", "size", "copies")))
-    rows = docs.withColumn("__tessera_n", word_count(F.col(text_col))).join(
-        chosen,
-        F.col(id_col).cast("long").eqNullSafe(F.col("__tessera_doc_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__tessera_source")) & (F.col("__tessera_n") == F.col("__tessera_size")),
-    )
-    return rows.withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tessera_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = places.located(docs)
+    sizes = session.materialize(sizes_of(found, id_col, source_col, text_col, tuple(places.PLACE)), "sizes")
+    unit = ["doc_id", "source", "size"]
+    chosen = plan(sizes.select(unit), **options).where("copies <> 1").select(*(F.col(c).alias(f"of_{c}") for c in unit), F.col("copies").alias("number"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in unit]
+    copies = places.Decisions.write(sizes.join(chosen, same).select(*places.PLACE, "number"), found, 1, text_col)
+    rows = found.withColumn("__tessera_copies", copies.column()).where(F.col("__tessera_copies") > 0)
+    return rows.withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1), F.col("__tessera_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """One row for each row of ``docs``: its id, size, source_size, target and the words that the mix takes of it."""
+    """One row for each row of ``docs``: its id, size, source_size, target and the words that the mix takes of it.
+
+    Null ids are ids like any other, and stay null; the rest is as in ``mix``.
+    """
     session.ship_code(docs.sparkSession)
-    units = plan(sizes_of(docs, id_col, source_col, text_col), **options)
+    sizes = session.materialize(sizes_of(docs, id_col, source_col, text_col), "sizes")
+    units = plan(sizes, **options)
     units = units.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return units.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
