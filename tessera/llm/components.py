@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = session.materialize(small, "edges")
+        before, e = e, session.materialize(small, "edges")
+        session.drop(before)
         after = _state(e)
         if after == state:
             break

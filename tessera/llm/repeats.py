@@ -18,7 +18,7 @@ from tessera.llm.kernel import splitmix
 #: Bits of the filter: 8 MB, whatever the input.
 LOG_FILTER = 26
 #: Keys held before they are sorted and sent on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 _REST = np.uint64(31)
 _HASHES = 3
@@ -113,6 +113,57 @@ def collect(sent: DataFrame, n_buckets: int) -> np.ndarray:
     return out
 
 
+class Tally:
+    """Collects short keys and packs them by bucket, each once with how often it came (255 at most)."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether it is time to flush."""
+        self.held.append(keys)
+        self.size += len(keys)
+        return self.size >= FLUSH
+
+    def flush(self) -> pa.RecordBatch:
+        v, n = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        bucket = (v >> _REST).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        low, n = (v & np.uint64((1 << 31) - 1)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
+        ends = [*cuts[1:].tolist(), len(v)]
+        payload, counts = ([x[a:b].tobytes() for a, b in zip(cuts.tolist(), ends)] for x in (low, n))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(payload, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "payload", "counts"])
+
+
+TALLIED = "bucket long, payload binary, counts binary"
+
+
+def tally(sent: DataFrame, n_buckets: int, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two filters, bucket by bucket, from all packed keys (``TALLIED``): of those that came more
+    than once, and of those that came more than ``often`` times (255 at most)."""
+    log_region = max(LOG_FILTER - (n_buckets.bit_length() - 1), 6)
+
+    def find(key: tuple, table: pa.Table) -> pa.Table:
+        rest = np.concatenate([np.frombuffer(x, np.uint32) for x in table["payload"].to_pylist()])
+        n = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()]).astype(np.int64)
+        order = np.argsort(rest)
+        rest, n = rest[order], n[order]
+        first = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
+        total, rest = np.add.reduceat(n, first), rest[first]
+        regions = [_region_bits(rest[total > least], log_region) for least in (1, often)]
+        return pa.table({"bucket": [key[0].as_py()], **{k: pa.array([_region(b, log_region) if b.size else b""], pa.binary()) for k, b in zip(("twice", "often"), regions)}})
+
+    table = sent.groupBy("bucket").applyInArrow(find, "bucket long, twice binary, often binary").where("length(twice) > 0").toArrow()
+    out = tuple(np.zeros((n_buckets, (1 << log_region) // 8), np.uint8) for _ in range(2))
+    for filter_, name in zip(out, ("twice", "often")):
+        for b, region in zip(table["bucket"].to_pylist(), table[name].to_pylist()):
+            if region:
+                filter_[b] = np.frombuffer(region, np.uint8)
+    return out
+
+
 def is_hit(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     log_region = (filter_.shape[1] * 8).bit_length() - 1
     bucket = (keys >> _REST).astype(np.int64)
