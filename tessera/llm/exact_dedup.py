@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.llm import places
-from tessera.llm.kernel import strings, turn_to
+from tessera.llm.kernel import strings, tidy, turn_to
 from tessera.llm.places import FILE, ROW
 
 #: Bytes of a chunk. Sums of 2**16 products below 2**39 stay below 2**55.
@@ -63,6 +63,7 @@ def fingerprint(data: bytes) -> tuple[int, ...]:
     return f
 
 
+@tidy
 def _fingerprints(batches):
     """id, text and what else a row carries, to the fingerprint, the length and the hash of the text."""
     turn_to("exact_dedup")
@@ -80,6 +81,7 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string()), *rest], ["id", "f1", "f2", "size", "sha", *batch.schema.names[2:]])
 
 
+@tidy
 def _chunks(batches, length: int):
     """The chunks of each text, with its key."""
     for batch in batches:

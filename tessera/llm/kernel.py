@@ -8,6 +8,7 @@ final mix, so that two given sequences collide with a chance near 2**-57.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import os
 from collections.abc import Callable, Iterator
@@ -31,19 +32,34 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" el
 
 
 def turn_to(owner: str, forget: Callable[[], None] | None = None) -> None:
-    """Called where a worker begins a task: what it remembers for other operators is dropped, and
-    memory that tasks before have freed goes back to the machine. ``forget`` drops what the
-    worker will remember for this one."""
+    """Called where a worker begins a task: what it remembers for other operators is dropped.
+    ``forget`` drops what it will remember for this one."""
     for name in [x for x in _HELD if x != owner]:
         _HELD.pop(name)()
         gc.collect()
     if forget:
         _HELD[owner] = forget
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
 
+def tidy(over_batches: Callable) -> Callable:
+    """For functions over batches: memory that a task has freed goes back to the machine when it
+    ends, so that workers that wait for another task are small."""
+
+    @functools.wraps(over_batches)
+    def run(*args):
+        yield from over_batches(*args)
+        release()
+
+    return run
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64 values."""
     with np.errstate(over="ignore"):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera import session
 from tessera.llm import places, repeats
 from tessera.llm.components import components
-from tessera.llm.kernel import Words, mix, slices, strings, turn_to
+from tessera.llm.kernel import Words, mix, slices, strings, tidy, turn_to
 
 SHINGLE = 2
 SKETCH, RUN, SMALL, DOUBT = 64, 3, 5, 0.5
@@ -72,6 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
     return out
 
 
+@tidy
 def _sketches(batches, k: int):
     turn_to("near_dedup")
     for batch in batches:
@@ -119,6 +120,7 @@ def _batch_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return _runs(values, offsets - offsets[0], batch.column("n").to_numpy())
 
 
+@tidy
 def _send_runs(batches, log_buckets: int):
     tally = repeats.Tally()
     for batch in batches:
@@ -131,6 +133,7 @@ def _send_runs(batches, log_buckets: int):
         yield tally.flush()
 
 
+@tidy
 def _entries(batches, shared, log_buckets: int, percent: int):
     """The lists of each document; ``left`` is the number of its hot runs, if they are left out."""
     turn_to("near_dedup")
@@ -200,6 +203,7 @@ def _own_runs(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n * 100 <= percent * SKETCH, whole, np.where(n <= SKETCH, np.minimum(whole, large), large))
 
 
+@tidy
 def _sets_of(batches, tiles: places.Decisions, k: int):
     """(tile, id, set) for each tile that a document is in."""
     turn_to("near_dedup")

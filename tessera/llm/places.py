@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.llm import repeats
+from tessera.llm.kernel import tidy
 
 FILE, ROW = "__tessera_file", "__tessera_row"
 PLACE = [FILE, ROW]
@@ -123,15 +124,19 @@ class Decisions:
         out[which] = found
         return out
 
+    @tidy
+    def _numbers(self, batches):
+        held: dict = {}
+        for file, row in batches:
+            yield pa.array(self.look_up(file.to_numpy(), row.to_numpy(), held))
+
     def column(self) -> Column:
         """The number of each row of a located DataFrame; only places go to Python."""
         this = self
 
         @F.arrow_udf("int")
         def number(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            held: dict = {}
-            for file, row in batches:
-                yield pa.array(this.look_up(file.to_numpy(), row.to_numpy(), held))
+            yield from this._numbers(batches)
 
         return number(F.col(FILE), F.col(ROW))
 
