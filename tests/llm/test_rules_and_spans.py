@@ -168,6 +168,97 @@ def test_similar_mentions_of_cards_mail_and_parts():
     assert len(base) == 4 and [(k, text[a:b]) for k, a, b in more] == [("card", "1111 1111 1111"), ("email", "jo.smith77@mail,example.com"), ("phone", "2079460958")]
 
 
+def planted_mentions(seed, n=300):
+    """Texts with a full mention, shorter ones of it, and numbers that are others: (text, full mentions, shorter ones)."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def filler(k):
+        return " ".join(rng.choice(["the", "room", "see", "page", digits(rng.randrange(1, 5)), f"no.{digits(3)}", digits(8), f"{digits(3)}-{digits(4)}", "v1.2.3"]) for _ in range(k))
+
+    out = []
+    for _ in range(n):
+        kind = rng.choice(pii.KINDS)
+        if kind == "phone":
+            a, b, c = digits(3), digits(3), digits(4)
+            full, short = rng.choice([f"+1 {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"+1{a}{b}{c}", f"+1.{a}.{b}.{c}"]), rng.choice([f"{a} {b} {c}", f"({a}) {b}-{c}", f"{b}-{c}", f"{a}{b}{c}", f"1-{a}-{b}-{c}"])
+        elif kind == "card":
+            c = card()
+            full, short = rng.choice([c, " ".join(c[i : i + 4] for i in range(0, 16, 4))]), rng.choice([c[8:], f"{c[4:8]}-{c[8:12]}-{c[12:]}", f"{c[8:12]} {c[12:]}"])
+        elif kind == "email":
+            full = f"jo{digits(2)}.smith@mail{digits(1)}.com"
+            short = full.replace("@", rng.choice(["(@)", "[@]"]))
+        else:
+            full = ".".join(str(rng.randrange(100, 256)) for _ in range(4))
+            short = full.replace(".", rng.choice(["-", "_"]))
+        before = rng.random() < 0.3
+        # Words around mentions, as digits beside one would be part of it.
+        text = f"{filler(12)} is {short if before else full} or {filler(12)} at {full if before else short} and {filler(12)}."
+        out.append((text, kind, short))
+    return out
+
+
+def test_recall_and_precision_of_planted_mentions():
+    """The field is trained on other texts, by the counts that workers would send."""
+    from collections import Counter
+
+    counts = Counter()
+    for text, _, _ in planted_mentions(1):
+        counts.update(pii.text_counts(text))
+    field = pii.train(counts)
+    hit = added = wanted = 0
+    for text, kind, short in planted_mentions(2):
+        base, more = pii.find(text, field)
+        plain = plain_pii(text)
+        assert sorted(base) == plain
+        at = text.index(short)
+        if any(a < at + len(short) and at < b for _, a, b in plain):
+            continue  # the base has it
+        wanted += 1
+        added += len(more)
+        hit += any(k == kind and a < at + len(short) and at < b for k, a, b in more)
+    assert wanted > 200 and hit >= 0.9 * wanted and hit >= 0.9 * added
+
+
+def test_skip_potentials_are_learned():
+    from collections import Counter
+
+    counts = Counter()
+    for text, _, _ in planted_mentions(1):
+        counts.update(pii.text_counts(text))
+    skip = pii.train(counts).skip
+    assert all(counts["skip", y, y] >= pii.FIT_TIES for y in range(1, 5)) and not np.allclose(skip, pii.agreement(5))
+    assert all(skip[y, y] > 0 > skip[y, z] for y in range(1, 5) for z in range(5) if z != y) and np.allclose(skip, skip.T)
+    assert np.allclose(pii.train(Counter()).skip, pii.agreement(5))
+
+
+def test_recall_and_precision_of_planted_secrets():
+    """Keys that no base pattern finds, among identifiers, paths, names, numbers and placeholders."""
+    rng = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    allow = secret_scan.compiled(secret_scan.ALLOW)
+    hit = wanted = added = 0
+    for _ in range(500):
+        key = "".join(rng.choice(signs) for _ in range(rng.randrange(24, 48)))
+        if rng.random() < 0.3:
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randrange(32, 64)))
+        decoys = [f"{rng.randrange(16**8):08x}-{rng.randrange(16**4):04x}-{rng.randrange(16**4):04x}-{rng.randrange(16**4):04x}-{rng.randrange(16**12):012x}", "src/main/some_module/file_name01", "2024-01-02-0001-000000017", "InternationalizationHelperFactory", "example_" + "a1" * 12, "=" * 40, "x" * 24]
+        text = f"use {rng.choice(decoys)} then {key}, not {rng.choice(decoys)} or {rng.choice(decoys)}"
+        base = secret_scan.base_spans(text)
+        at = text.index(key)
+        if any(a < at + len(key) and at < b for _, a, b in base):
+            continue
+        more = secret_scan.entropy_spans(text, base, allow)
+        wanted += 1
+        added += len(more)
+        hit += any(a < at + len(key) and at < b for _, a, b in more)
+    assert wanted > 300 and hit >= 0.9 * wanted and hit >= 0.9 * added
+
+
 def test_tokens_do_not_overlap():
     rng = random.Random(4)
     bits = [*"ab.@-_+ 0123456789()55\n", "4111 1111 1111 1111", "a@b.co", "10.0.0.1", "+1 (504) 555-2652", "504 555 2652", "5552652", "+411111111111111@b.co", "é"]

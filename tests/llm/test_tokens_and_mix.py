@@ -116,6 +116,38 @@ def test_search_commits_early():
     assert most < 200 and "".join(model.pieces[i] for i in got + search.finish()) == text
 
 
+def test_every_new_segment_goes_through_the_search(library, monkeypatch):
+    """Characters that the search takes in are those of all segments not remembered, but for what each has in common with the one before."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    taken = [0, 0]
+    push, start = sentencepiece_codec.Search.push_pieces, sentencepiece_codec.Search.start
+
+    def counting_push(self, chars):
+        taken[0] += len(chars)
+        return push(self, chars)
+
+    def counting_start(self, text):
+        k = start(self, text)
+        taken[1] += k
+        return k
+
+    monkeypatch.setattr(sentencepiece_codec.Search, "push_pieces", counting_push)
+    monkeypatch.setattr(sentencepiece_codec.Search, "start", counting_start)
+    model = sentencepiece_codec.Model(PIECES)
+    asked, learn = [], model.learn
+
+    def watching(segments):
+        asked.append(sum(map(len, segments.difference(model.segments))))
+        return learn(segments)
+
+    model.learn = watching
+    for a in range(0, len(texts), 20):
+        assert [np.frombuffer(x, "<i4").tolist() for x in model.encode_batch(texts[a : a + 20])] == library.encode(texts[a : a + 20])
+    assert sum(taken) == sum(asked) > 50_000 and taken[0] > 0.4 * sum(asked)
+
+
 def test_unigram_search_finds_the_best_path():
     """With scores as weights, the search maximises their sum."""
     model = sentencepiece_codec.load(PIECES)
