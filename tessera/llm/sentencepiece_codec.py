@@ -15,7 +15,9 @@ Two kinds of model are searched:
   transitions of 0 or minus infinity. It gives the ids of the merging algorithm.
 
 A boundary between two characters that no piece holds in a row is on every path. Texts are
-cut there (before spaces, around line ends) and the ids of short segments are remembered.
+cut there (before spaces, around line ends), each segment is searched, and the ids of segments
+are remembered. Segments new to a worker are searched in order of their characters, and the
+search goes back only to where one parts from the one before.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm.kernel import slices, strings
+from tessera.llm.kernel import slices, strings, tidy, turn_to
 
 SPACE = "▁"
-#: Remembered segments, parts between spaces, and pairs of a worker, at most; then it starts afresh.
-CACHE = 300_000
-PAIR_CACHE = 500_000
-PREFIX_CACHE = 800_000
-#: Characters between two looks for a common boundary, and of the longest remembered segment.
+#: Remembered parts between spaces, segments, and pairs of a worker, at most; then it starts afresh.
+CACHE = 200_000
+SEGMENT_CACHE = 200_000
+PAIR_CACHE = 300_000
+#: Characters of the longest remembered segment.
+LONGEST = 64
+#: Characters pushed at once; with as many not committed, the search looks for a common boundary.
 STEP = 64
 _RUNS = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}+|[^\w{SPACE}]+|[\d_]+|.", re.S)
 
@@ -74,7 +78,7 @@ class Model:
         self.least = min(self.score.values(), default=0.0) - 10.0
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
-        self.lasts: dict[str, str] = {}
+        self.segments: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         if self.bpe:  # a piece that merges never make can't be on a path
             self.reachable = {p: p for p in self.id if self.merge(p) == [p]}
@@ -83,9 +87,11 @@ class Model:
         self.packed = {p: struct.pack("<i", i) for p, i in self.id.items()}
         self.tuples = {p: (i,) for p, i in self.id.items()}
         self.longest_to: dict[str, int] = {}  # by a piece's last two characters
+        self.longest_of: dict[str, int] = {}  # by its last three
         for p in self.reachable:
-            if len(p) > 1:
-                self.longest_to[p[-2:]] = max(len(p), self.longest_to.get(p[-2:], 0))
+            for table, n in ((self.longest_to, 2), (self.longest_of, 3)):
+                if len(p) >= n:
+                    table[p[-n:]] = max(len(p), table.get(p[-n:], 0))
 
     def forced(self, a: str, b: str) -> bool:
         """Whether every path has a boundary between these characters."""
@@ -123,51 +129,31 @@ class Model:
         ids = self.tuples.get(piece)
         return tuple(self.byte_id[b] for b in piece.encode()) if ids is None else ids
 
-    def encode_part(self, part: str) -> bytes:
-        """Ids (4 bytes each) of a piece of text that begins and ends at forced boundaries."""
-        if len(part) > STEP:
-            search = Search(self)
-            out: list[int] = []
-            for a in range(0, len(part), STEP):
-                out += search.push(part[a : a + STEP])
-            return np.array(out + search.finish(), "<i4").tobytes()
-        if not self.bpe:
-            search = Search(self)
-            return np.array([*search.push(part), *search.finish()], "<i4").tobytes()
-        # The last piece of the path to a prefix depends on that prefix alone: it is remembered,
-        # so a new word is searched from where it parts from the words before.
-        lasts = self.lasts
-        end = len(part)
-        if part not in lasts:
-            if len(lasts) >= PREFIX_CACHE:
-                lasts.clear()
-            k = end - 1
-            while k and part[:k] not in lasts:
-                k -= 1
-            reachable, longest_to, pairs = self.reachable, self.longest_to, self.pairs
-            for j in range(k + 1, end + 1):
-                for i in range(max(0, j - longest_to.get(part[j - 2 : j], 1)) if j > 1 else 0, j):
-                    p = part[i:j]
-                    if j - i > 1 and p not in reachable:
-                        continue
-                    if i:
-                        before = lasts[part[:i]]
-                        after = pairs.get(before)
-                        ok = None if after is None else after.get(p)
-                        if ok is None:
-                            ok = self.fits(before, p)
-                            pairs = self.pairs
-                    if not i or ok:
-                        lasts[part[:j]] = reachable.get(p, p)
-                        break
-        packed, out = self.packed, []
-        while end:
-            p = lasts[part[:end]]
-            x = packed.get(p)
-            out.append(struct.pack(f"<{len(p.encode())}i", *self.ids_of(p)) if x is None else x)
-            end -= len(p)
-        out.reverse()
-        return b"".join(out)
+    def pack(self, pieces: list[str]) -> bytes:
+        """Ids, 4 bytes each."""
+        packed = self.packed
+        return b"".join([packed[p] if p in packed else struct.pack(f"<{len(p.encode())}i", *self.ids_of(p)) for p in pieces])
+
+    def search(self, segments: list[str]) -> list[bytes]:
+        """The packed ids of pieces of text that begin and end at forced boundaries."""
+        search, out = Search(self), []
+        for s in segments:
+            at, found = search.start(s), []
+            while at < len(s):
+                found += search.push_pieces(s[at : at + STEP])
+                at += STEP
+            out.append(self.pack(found + search.finish_pieces()))
+        return out
+
+    def learn(self, segments: set[str]) -> dict[str, bytes]:
+        """The packed ids of some segments; those of at most LONGEST characters are remembered."""
+        known = self.segments
+        if len(known) + len(segments) > SEGMENT_CACHE:  # segments of these texts that are known already are frequent ones
+            known = self.segments = {s: known[s] for s in segments if s in known}
+        new = sorted(segments.difference(known))
+        found = dict(zip(new, self.search(new)))
+        known.update((s, x) for s, x in found.items() if len(s) <= LONGEST)
+        return {s: found[s] if s in found else known[s] for s in segments}
 
     def _segments(self, escaped: str) -> list[str]:
         """Cut between letters, other characters and spaces, where those boundaries are forced."""
@@ -180,15 +166,12 @@ class Model:
                 out.append(x)
         return out
 
-    def _encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        return b"".join([self.encode_part(s) for s in self._segments(escaped)])
+    def _cut(self, text: str) -> list[str]:
+        return self._segments((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
         """Ids of any text; of the empty text, none."""
-        return np.frombuffer(self._encode(text), "<i4").tolist()
+        return np.frombuffer(self.encode_batch([text])[0], "<i4").tolist()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as 4-byte integers. Parts between single spaces are remembered whole."""
@@ -197,10 +180,12 @@ class Model:
         parts = self.parts
         if len(parts) + len(words) > CACHE:  # words of these texts that are known already are frequent ones
             parts = self.parts = {w: parts[w] for w in words if w in parts}
-        for w in words:
-            if w not in parts:
-                parts[w] = b"".join([self.encode_part(s) for s in self._segments(SPACE + w)])
-        return [self._encode(t) if s is None else b"".join([parts[w] for w in s]) for s, t in zip(split, texts)]
+        cut = {w: [SPACE + w] if w.isalpha() else self._segments(SPACE + w) for w in words.difference(parts)}
+        whole = [self._cut(t) if s is None else () for s, t in zip(split, texts)]
+        known = self.learn(set().union(*cut.values(), *whole))
+        for w, segments in cut.items():
+            parts[w] = b"".join([known[s] for s in segments])
+        return [b"".join([known[x] for x in segments]) if s is None else b"".join([parts[w] for w in s]) for s, segments in zip(split, whole)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids; broken UTF-8 is replaced."""
@@ -226,29 +211,60 @@ class Search:
         self.text = ""  # not committed yet
         self.last: list[str | None] = [None]  # the last piece of the path to each position
         self.best: list[float] = [0.0]
+        self.whole = True  # nothing was committed: the window begins where the text does
+
+    def start(self, text: str) -> int:
+        """Begin with another text. What it has in common with the last one is not searched
+        again; returns where to push on from."""
+        n, k = min(len(self.text), len(text)) if self.whole else 0, 0
+        while k < n and self.text[k] == text[k]:
+            k += 1
+        self.text, self.whole = text[:k], True
+        del self.last[k + 1 :], self.best[k + 1 :]
+        self.last[0], self.best[0] = None, 0.0
+        return k
 
     def advance(self) -> None:
         m, text, last, best = self.model, self.text, self.last, self.best
-        reachable = m.reachable
-        n = len(text)
-        for j in range(len(last), n + 1):
-            found, top = None, -np.inf
-            for i in range(max(0, j - m.longest_to.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
-                p = text[i:j]
-                if j - i > 1 and p not in reachable:
-                    continue
-                if i and last[i] is None:
-                    continue
-                if m.bpe:
-                    if i == 0 or m.fits(last[i], p):
-                        found = p
-                        break
-                else:
+        reachable, longest_to = m.reachable, m.longest_to
+        if not m.bpe:
+            for j in range(len(last), len(text) + 1):
+                found, top = None, -np.inf
+                for i in range(max(0, j - longest_to.get(text[j - 2 : j], 1)) if j > 1 else 0, j):
+                    p = text[i:j]
+                    if j - i > 1 and p not in reachable or i and last[i] is None:
+                        continue
                     s = best[i] + m.score.get(p, m.least)
                     if s > top:
                         found, top = p, s
+                last.append(found)
+                best.append(top)
+            return
+        pairs, longest_of = m.pairs, m.longest_of
+        for j in range(len(last), len(text) + 1):
+            found = None
+            i = j - longest_of.get(text[j - 3 : j], 2) if j > 2 else 0
+            if i < 0:
+                i = 0
+            while i < j:
+                p = text[i:j]
+                if j - i == 1 or p in reachable:
+                    if i == 0:
+                        found = p
+                        break
+                    before = last[i]
+                    if before is not None:
+                        after = pairs.get(before)
+                        ok = None if after is None else after.get(p)
+                        if ok is None:
+                            ok = m.fits(before, p)
+                            pairs = m.pairs
+                        if ok:
+                            found = p
+                            break
+                i += 1
             last.append(found)
-            best.append(top)
+            best.append(0.0)
 
     def _path(self, end: int) -> list[str]:
         out = []
@@ -257,11 +273,13 @@ class Search:
             end -= len(self.last[end])
         return out[::-1]
 
-    def push(self, chars: str) -> list[int]:
-        """Take in characters; return the ids that became final."""
+    def push_pieces(self, chars: str) -> list[str]:
+        """Take in characters; return the pieces that became final."""
         self.text += chars
         self.advance()
         n = len(self.text)
+        if n <= STEP:
+            return []
         # Later pieces start at one of the window's positions; follow all paths from there.
         ends = {j for j in range(max(0, n - self.model.longest + 1), n + 1) if j == 0 or self.last[j] is not None}
         while len(ends) > 1:
@@ -280,21 +298,32 @@ class Search:
         self.text, self.last, self.best = self.text[cut:], [None, *self.last[cut + 1 :]], self.best[cut:]
         for k in range(1, len(kept)):
             self.last[k] = None  # positions inside the piece are on no surviving path
-        return [i for p in path[:-1] for i in self.model.ids_of(p)]
+        self.whole = False
+        return path[:-1]
+
+    def finish_pieces(self) -> list[str]:
+        """The pieces of what is left. The search is to be started again."""
+        return self._path(len(self.text))
+
+    def push(self, chars: str) -> list[int]:
+        """The ids that became final."""
+        return [i for p in self.push_pieces(chars) for i in self.model.ids_of(p)]
 
     def finish(self) -> list[int]:
-        ids = [i for p in self._path(len(self.text)) for i in self.model.ids_of(p)]
-        self.text, self.last, self.best = "", [None], [0.0]
+        ids = [i for p in self.finish_pieces() for i in self.model.ids_of(p)]
+        self.text, self.last, self.best, self.whole = "", [None], [0.0], True
         return ids
 
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Model:
-    """The model, and what it remembers, for as long as the worker lives."""
+    """The model, and the pairs it remembers, until the worker turns to another operator."""
     return Model(path)
 
 
+@tidy
 def _encode(batches, model_path: str):
+    turn_to("sentencepiece_codec", load.cache_clear)
     model = load(model_path)
     for batch in batches:
         data, offsets = strings(batch.column(1))
@@ -306,19 +335,22 @@ def _encode(batches, model_path: str):
             same = [model.decode(np.frombuffer(x, "<i4").tolist()) == t for x, t in zip(raw, texts)]
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), ids, pa.array(same)], ["id", "n_tokens", "ids", "round_trip"])
+    model.parts, model.segments = {}, {}  # a worker that waits holds the model and its pairs only
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, ids and whether decoding them gives the text.
 
     Null and empty texts have no ids. The one text that doesn't come back as it was is one
-    with U+2581, which the model takes for a space.
+    with U+2581, which the model takes for a space. Repeated rows, null ids and whatever other
+    columns there are change nothing; an empty table gives an empty result.
     """
     session.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(lambda it: _encode(it, model_path), "id long, n_tokens long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
+@tidy
 def _decode(batches, model_path: str):
     model = load(model_path)
     for batch in batches:
