@@ -9,7 +9,9 @@ rolling 7-word window of one document equals a grid block of the other.
    hit; each bucket answers with its own region of a filter of fixed size.
 2. Extension: hits are extended to the 13-word windows around them. Their 64-bit hashes go to
    buckets again, one for each document and distinct window; a window is a repeat in every
-   document but the one of least id. Answers are (document, window hash).
+   document but the one of least id. Answers are (document, window hash). Windows that very
+   many documents have are counted beforehand; their least ids go to all tasks, which answer
+   them where they stand, so no bucket holds one's documents.
 3. Documents with answers are joined with them, and the words of their repeated windows go;
    adjoining windows thus make up maximal repeats. Other documents aren't shuffled.
 
@@ -19,6 +21,7 @@ Step 1 only narrows what step 2 looks at: a false hit there costs time, not corr
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -28,9 +31,14 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.llm import bloom, repeats
-from tessera.llm.kernel import Words, cover, slices, strings
+from tessera.llm.kernel import Words, cover, slices, strings, tidy, turn_to
 
 WINDOW, BLOCK = 13, 7
+#: Documents from which on a window is hot, at least; beyond, a share of all (document, window)
+#: pairs, so that there are MOST_HOT hot windows at most (16 MB).
+HOT, MOST_HOT = 1 << 16, 1 << 20
+#: Documents of one packed batch that a window needs to be counted as one that may be hot.
+_HOT_IN_BATCH = 8
 #: Stands for a null id: such a row is never the first to have a window.
 NO_ID = (1 << 63) - 1
 
@@ -50,7 +58,9 @@ def _anchor_keys(w: Words, hashes: np.ndarray, log_buckets: int, window: int, bl
     return at, repeats.short_keys(g[at], log_buckets), in_row % block != 0
 
 
+@tidy
 def _send_anchors(batches, log_buckets: int, window: int, block: int):
+    turn_to("substring_dedup")
     sender = repeats.Sender()
     for batch in batches:
         data, offsets = strings(batch.column(1))
@@ -83,7 +93,9 @@ def _windows(w: Words, hashes: np.ndarray, filter_: np.ndarray, window: int, blo
     return i, g[i]
 
 
+@tidy
 def _send_windows(batches, shared, log_buckets: int, window: int, block: int):
+    turn_to("substring_dedup")
     filter_ = shared.value
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -117,6 +129,80 @@ def _send_windows(batches, shared, log_buckets: int, window: int, block: int):
         yield flush()
 
 
+def _pairs(batches):
+    for batch in batches:
+        for keys, ids in zip(batch.column("keys").to_pylist(), batch.column("ids").to_pylist()):
+            yield np.frombuffer(keys, np.uint64), np.frombuffer(ids, np.int64)
+
+
+def _frequent(batches, least: int):
+    """(window hash, documents) of the windows frequent in a packed row, and under a null hash all pairs."""
+    total = 0
+    for keys, _ in _pairs(batches):
+        total += len(keys)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(first, len(keys)))
+        many = count >= least
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first[many]].view(np.int64)), pa.array(count[many])], ["key", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
+
+
+def _hot_leasts(batches, hot: np.ndarray):
+    for keys, ids in _pairs(batches):
+        is_hot = np.isin(keys, hot)
+        keys, ids = keys[is_hot], ids[is_hot]
+        if len(keys):
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.minimum.reduceat(ids, first))], ["key", "least"])
+
+
+@tidy
+def _hot_answers(batches, hot: np.ndarray, leasts: np.ndarray):
+    for keys, ids in _pairs(batches):
+        is_hot = np.isin(keys, hot)
+        keys, ids = keys[is_hot], ids[is_hot]
+        yield from _by_id(keys, ids, ids > leasts[np.searchsorted(hot, keys)]).to_batches()
+
+
+@tidy
+def _cold(batches, hot: np.ndarray):
+    for batch in batches:
+        rows = []
+        for bucket, (keys, ids) in zip(batch.column("bucket").to_pylist(), _pairs([batch])):
+            cold = ~np.isin(keys, hot)
+            if cold.any():
+                rows.append({"bucket": bucket, "keys": keys[cold].tobytes(), "ids": ids[cold].tobytes()})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())]))
+
+
+def find_hot(packed: DataFrame, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, least id) of the hot windows, in order of their hashes."""
+    counts = packed.mapInArrow(lambda it: _frequent(it, min(_HOT_IN_BATCH, hot)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = session.materialize(counts, "frequent")
+    total = counts.where("key is null").first()
+    least = max(hot, (total.n if total else 0) // MOST_HOT)
+    keys = np.sort(counts.where(f"key is not null and n >= {least}").select("key").toArrow()["key"].to_numpy().view(np.uint64))  # MOST_HOT at most
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    shared = packed.sparkSession.sparkContext.broadcast(keys)
+    found = packed.mapInArrow(lambda it: _hot_leasts(it, shared.value), "key long, least long").groupBy("key").agg(F.min("least").alias("least")).toArrow()
+    leasts = np.empty(len(keys), np.int64)
+    leasts[np.searchsorted(keys, found["key"].to_numpy().view(np.uint64))] = found["least"].to_numpy()
+    return keys, leasts
+
+
+def _by_id(keys: np.ndarray, ids: np.ndarray, later: np.ndarray) -> pa.Table:
+    """The windows in question, packed by document."""
+    keys, ids = keys[later], ids[later]
+    order = np.argsort(ids, kind="stable")
+    keys, ids = keys[order], ids[order]
+    cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    payload = [keys[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])]
+    return pa.table({"id": pa.array(ids[cuts]), "keys": pa.array(payload, pa.binary())})
+
+
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """For each document, those of its windows that a document of smaller id has too."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
@@ -125,15 +211,10 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     keys, ids = keys[order], ids[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(keys))))
-    later = ids > least
-    keys, ids = keys[later], ids[later]
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
-    cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-    payload = [keys[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)])]
-    return pa.table({"id": pa.array(ids[cuts]), "keys": pa.array(payload, pa.binary())})
+    return _by_id(keys, ids, ids > least)
 
 
+@tidy
 def _split(batches, shared):
     """Documents without answers are done; others pass with their text."""
     words = shared.value
@@ -152,6 +233,7 @@ def _split(batches, shared):
         yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())], ["id", "key", "n", "sha", "raw"])
 
 
+@tidy
 def _finish(batches, window: int, with_text: bool):
     for batch in batches:
         n, sha = batch.column("n").to_pylist(), batch.column("sha").to_pylist()
@@ -178,7 +260,7 @@ def _finish(batches, window: int, with_text: bool):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, buckets: tuple[int, int] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, buckets: tuple[int, int] | None = None, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_removed, kept_sha256 and kept_text.
 
     Every word of a window that starts in a document of smaller id too is removed; windows
@@ -187,6 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null ones lose nothing; the latter have no words and the hash of the empty string. Rows
     that share an id are not repeats of one another, but each is one of the rows of smaller
     id. A row with a null id loses what any other document has, and takes nothing from it.
+    An empty table gives an empty result; other columns, whatever they are called, play no part.
     """
     spark = docs.sparkSession
     session.ship_code(spark)
@@ -195,8 +278,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first, second = buckets or bucket_counts(docs, text_col)
     shared = spark.sparkContext.broadcast(anchor_filter(source, first, window, block))
     log_second = second.bit_length() - 1
-    sent = source.mapInArrow(lambda it: _send_windows(it, shared, log_second, window, block), "bucket long, keys binary, ids binary")
-    answers = session.materialize(sent.groupBy("bucket").applyInArrow(_answer, "id long, keys binary"), "repeats")
+    pairs = "bucket long, keys binary, ids binary"
+    packed = windows = session.materialize(source.mapInArrow(lambda it: _send_windows(it, shared, log_second, window, block), pairs), "windows")
+    answered = []
+    frequent = spark.sparkContext.broadcast(find_hot(packed, hot))
+    if len(frequent.value[0]):
+        answered.append(packed.mapInArrow(lambda it: _hot_answers(it, *frequent.value), "id long, keys binary"))
+        packed = packed.mapInArrow(lambda it: _cold(it, frequent.value[0]), pairs)
+    answered.append(packed.groupBy("bucket").applyInArrow(_answer, "id long, keys binary"))
+    answers = session.materialize(functools.reduce(DataFrame.unionByName, answered), "repeats")
+    session.drop(windows)
 
     marked = spark.sparkContext.broadcast(bloom.build(answers, "id"))
     # Both kinds come of one pass over the texts: written once, as the union below reads them twice.
