@@ -39,6 +39,8 @@ SPACE = "▁"
 CACHE = 200_000
 SEGMENT_CACHE = 200_000
 PAIR_CACHE = 300_000
+#: Bytes of texts whose words are looked up together.
+SLICE = 1 << 21
 #: Characters of the longest remembered segment.
 LONGEST = 64
 #: Characters pushed at once; with as many not committed, the search looks for a common boundary.
@@ -327,7 +329,7 @@ def _encode(batches, model_path: str):
     model = load(model_path)
     for batch in batches:
         data, offsets = strings(batch.column(1))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(a, b)]
             raw = model.encode_batch(texts)
             sizes = np.array([len(x) // 4 for x in raw], np.int32)
