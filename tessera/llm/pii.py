@@ -11,22 +11,29 @@ white space. Its factors:
 * chain: labels of tokens next to each other;
 * skip: labels of tokens, however distant, with the same key (letters and digits only, in
   lower case), or of a number and a card or phone one of which is a suffix of the other. A
-  span counts with its own key and those of its parts between white space; each occurrence is tied straight to an observed one where there is any, else
-  to the one before it, so n copies make at most n - 1 factors.
+  span counts with its own key and those of its parts between white space; each occurrence
+  is tied straight to an observed one where there is any, else to the one before it, so n
+  copies make at most n - 1 factors.
 
 Tokens in base spans are observed with their kind. Sum-product messages pass over the graph,
-loops included, until they settle, however many rounds that takes; a token that is not in a base span is added as a span of
-its label if it is tied to an observed token and its marginal reaches CERTAIN. So the second mention of a number that only once
-stood in full form is found. Base spans are never changed.
+loops included, until they settle, however many rounds that takes; a token that is not in a
+base span is added as a span of its label if it is tied to an observed token and its marginal
+reaches CERTAIN. So the second mention of a number that only once stood in full form is found.
+Base spans are never changed.
 
 The weights are trained piecewise (each kind of factor on its own) on a sample of at most
-FIT_DOCS documents, those of least hash, that hold a digit or an ``@``.
+FIT_DOCS documents, those of least hash, that hold a digit or an ``@``. Base patterns label
+full mentions only, so for the skip factors a shorter mention of each base span, written after
+the text, is a pair that agrees; ties between tokens that no pattern labels are pairs too.
+Workers count, the driver sees sums by shape and label.
 """
 
 from __future__ import annotations
 
+import ast
 import re
 from bisect import bisect
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.llm.kernel import tidy
 from tessera.llm.spans import Span, Taken, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 FIT_DOCS = 2_000
+#: Tied pairs of a label that the sample must have for its skip potentials to be learned.
+FIT_TIES = 20
 CERTAIN = 0.9
 #: Letters and digits that a key needs to tie tokens.
 KEY_LENGTH = 7
@@ -58,6 +68,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^ \t\n\x0b\x0c\r]*[0-9@][^ \t\n\x0b\x0c\r]*")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
+_DIGITS = re.compile(r"[0-9]+")
 _GROUP = re.compile(r"(?<!\w)[0-9]+(?!\w)")
 _JOINT = re.compile(r"[ .()-]{1,3}")
 #: Digits that a card or phone span has at most.
@@ -394,46 +405,76 @@ def _first_after(toks: list[Token], at: int) -> int:
     return low
 
 
-def train(texts: list[str], steps: int = 300) -> Field:
+def mention(kind: str, span: str) -> str:
+    """The span as it may be written when it comes up again, so that no base pattern finds it."""
+    if kind == "email":
+        return span.replace("@", "(@)")
+    if kind == "ip":
+        return span.replace(".", "-")
+    parts = _DIGITS.findall(span)
+    if len(parts) > 1 and sum(map(len, parts[1:])) >= KEY_LENGTH:
+        return "-".join(parts[1:])
+    return "".join(parts)[-KEY_LENGTH - 2 :]
+
+
+def text_counts(text: str) -> Counter:
+    """What a text adds to the counts of (shape, label), of neighbours' labels and of tied tokens' labels."""
+    out: Counter = Counter()
+    base = base_spans(text)
+    toks = tokens(text, base)
+    seen = _observed(toks, base)
+    y = [max(v, 0) for v in seen]
+    # Shapes are learned from the parts of spans as well, since later mentions look like parts.
+    parts = tokens(text)
+    out.update(("node", t.shape, max(v, 0)) for t, v in zip(parts, _observed(parts, base)))
+    out.update(("node", t.shape, v) for t, v in zip(toks, y) if v and any(c.isspace() for c in text[t.start : t.end]))
+    out.update(("chain", a, b) for a, b in zip(y, y[1:]))
+    out.update(("skip", 0, 0) for a, b in ties(toks, seen) if seen[a] < 0 and seen[b] < 0)
+    for kind, a, b in base:  # on its own, so that a long text costs no more for many spans
+        short = f"{text[a:b]} \n {mention(kind, text[a:b])}"
+        own = base_spans(short)
+        toks = tokens(short, own)
+        seen = _observed(toks, own)
+        out.update(("skip", seen[i], 1 + ORDER[kind]) for t, i in anchors(toks, seen).items() if toks[t].start > b - a)
+    return out
+
+
+def train(counts: Counter, steps: int = 300) -> Field:
     """Piecewise: shapes by multinomial regression on base labels, pairs by smoothed log ratios of their counts."""
     k = len(LABELS)
-    rows: list[tuple[int, ...]] = []
-    labels: list[int] = []
-    chain = np.full((k, k), 0.5)
-    for text in texts:
-        base = base_spans(text)
-        toks = tokens(text, base)
-        y = [max(v, 0) for v in _observed(toks, base)]
-        # Shapes are learned from the parts of spans as well, since later mentions look like parts.
-        parts = tokens(text)
-        whole = [(t, v) for t, v in zip(toks, y) if v and any(c.isspace() for c in text[t.start : t.end])]
-        rows += [t.shape for t in parts] + [t.shape for t, _ in whole]
-        labels += [max(v, 0) for v in _observed(parts, base)] + [v for _, v in whole]
-        for i in range(len(y) - 1):
-            chain[y[i], y[i + 1]] += 1
     node = np.zeros((N_SHAPES, k))
-    if rows:
-        x = np.zeros((len(rows), N_SHAPES))
-        for i, r in enumerate(rows):
-            x[i, list(r)] = 1
-        target = np.eye(k)[labels]
+    shapes = sorted({key[1] for key in counts if key[0] == "node"})
+    if shapes:
+        x, target = np.zeros((len(shapes), N_SHAPES)), np.zeros((len(shapes), k))
+        for i, shape in enumerate(shapes):
+            x[i, list(shape)] = 1
+            target[i] = [counts["node", shape, label] for label in range(k)]
+        weight = target.sum(1, keepdims=True)
         for step in range(steps):
             p = x @ node
             p = np.exp(p - p.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            node += 2.0 / (1 + step / 100) * (x.T @ (target - p) / len(rows) - 1e-4 * node)
+            node += 2.0 / (1 + step / 100) * (x.T @ (target - weight * p) / weight.sum() - 1e-4 * node)
+
+    def table(name: str, more: float) -> np.ndarray:
+        return np.array([[counts[name, a, b] for b in range(k)] for a in range(k)], float) + more
 
-    def ratio(c: np.ndarray) -> np.ndarray:
+    def ratio(c: np.ndarray, most: float) -> np.ndarray:
         c = c / c.sum()
-        return np.log(c / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True)))
+        return np.clip(np.log(c / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True))), -most, most)
 
-    return Field(node, np.clip(ratio(chain), -2, 2), agreement(k))
+    skip = table("skip", 0.1)
+    learned = ratio(skip + skip.T, 6.0)
+    fixed = agreement(k)
+    for label in range(k):  # labels that are hardly ever tied in the sample keep the fixed potentials
+        if skip[label, label] < FIT_TIES:
+            learned[label], learned[:, label] = fixed[label], fixed[:, label]
+    return Field(node, ratio(table("chain", 0.5), 2.0), learned)
 
 
 def agreement(k: int) -> np.ndarray:
-    """Potentials of tied tokens. The base patterns label all full mentions alike, so a sample of
-    their labels can't weigh partial ones; these are fixed: to differ costs 6, and a mention
-    without a label speaks less for O than a labelled one for its kind."""
+    """Potentials of tied tokens where the sample has too few ties: to differ costs 6, and a
+    mention without a label speaks less for O than a labelled one for its kind."""
     same = np.where(np.eye(k, dtype=bool), 0.0, -6.0)
     same[0, 0] = -3.0
     return same
@@ -462,30 +503,48 @@ def find(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
     return base, more
 
 
+@tidy
 def _detect(batches, field: Field):
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
+        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")}
         for text in batch.column(1).to_pylist():
             base, more = find(text or "", field)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(digest(base, ORDER))
             out["spans"].append(joined(base + more, ORDER))
+            out["n_spans"].append(len(base) + len(more))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items())], ["id", *out])
 
 
+@tidy
+def _counts(batches):
+    total: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            total.update(text_counts(text))
+    yield pa.RecordBatch.from_arrays([pa.array(map(repr, total), pa.string()), pa.array(total.values(), pa.int64())], ["what", "n"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> Field:
+    """Learn from ``fit_docs`` documents at most. Null and empty texts, and those without a digit
+    or ``@``, have no say; rows that repeat id and text are one. Without any document the field
+    is flat, and adds nothing but by its fixed ties."""
+    session.ship_code(docs.sparkSession)
     rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     chosen = rows.select("h").distinct().orderBy("h").limit(fit_docs)  # hashes alone are sorted
-    texts = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").select("text").toArrow()["text"].to_pylist()  # at most fit_docs rows
-    return train(texts)
+    texts = rows.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
+    sums = texts.mapInArrow(_counts, "what string, n long").groupBy("what").agg(F.sum("n").alias("n")).toArrow()  # a few rows for each shape
+    return train(Counter({ast.literal_eval(what): n for what, n in zip(sums["what"].to_pylist(), sums["n"].to_pylist())}))
 
 
 def detect(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, base counts by kind, base_sha256, and all spans.
+    """One row for each row of ``docs``: id, base counts by kind, base_sha256, all spans and their number.
 
-    Null and empty texts have no spans (the hash is that of the empty string).
+    Null and empty texts have no spans (the hash is that of the empty string). Rows are judged
+    each on its own, so repeated rows and null ids change nothing; an empty table gives an empty
+    result, and other columns, whatever they are called, play no part.
     """
     session.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(lambda it: _detect(it, field), "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lambda it: _detect(it, field), "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long").withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import session
-from tessera.llm.kernel import Words, cover, slices, splitmix, strings
+from tessera.llm.kernel import Words, cover, slices, splitmix, strings, tidy, turn_to
 
 #: Words in a window that counts as repeated.
 WINDOW = 8
@@ -85,7 +85,9 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+@tidy
 def _statistics(batches):
+    turn_to("quality_rules")
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for a, b in slices(offsets):
@@ -94,7 +96,11 @@ def _statistics(batches):
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the counts of each row; a null or empty text has zeros."""
+    """The id and the counts of each row; a null or empty text has zeros.
+
+    Rows are looked at each on its own: repeated ones and null ids change nothing. An empty table
+    gives an empty result; other columns, whatever they are called, play no part.
+    """
     session.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_statistics, f"id long, {COUNTS_SCHEMA}").withColumnRenamed("id", id_col)
@@ -223,13 +229,14 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, ids: np.ndarray, precision:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, **options) -> DecisionList:
     """Learn from at most ``fit_rows`` labelled rows (quality 0 is bad), chosen by a hash of the id.
 
-    Labels that are null, and ids with both labels, are left out. Without labelled rows of
-    both kinds the list is empty and rejects nothing.
+    Labels that are null, and ids with both labels, are left out; repeated labels count once.
+    Of texts that share an id, the one with the least counts is looked at. Without labelled
+    rows of both kinds the list is empty and rejects nothing. Null and empty texts have zeros.
     """
     chosen = labels.where(f"quality is not null and {id_col} is not null").groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text")
-    counts = statistics(rows, "_id", "_text").dropDuplicates(["_id"]).join(F.broadcast(chosen), "_id")
+    counts = statistics(rows, "_id", "_text").groupBy("_id").agg(F.min(F.struct(*_COUNTS)).alias("c")).select("_id", "c.*").join(F.broadcast(chosen), "_id")
     x = features()
     table = counts.select("_id", "lo", *(c.alias(k) for k, c in x.items())).orderBy("_id").toArrow()  # at most fit_rows rows
     if not table.num_rows:
@@ -238,11 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def judge(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, counts, base_failed and kept. Null and empty texts fail the base rules (under 20 words)."""
+    """Each row's id, counts, base_failed and kept. Null and empty texts fail the base rules (under
+    20 words); the rest is as in ``statistics``."""
     return statistics(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rules.rejects())
 
 
+@tidy
 def _with_statistics(batches, text_at: int):
+    turn_to("quality_rules")
     for batch in batches:
         data, offsets = strings(batch.column(text_at))
         parts = [text_counts(data, offsets[a : b + 1]) for a, b in slices(offsets)]
@@ -251,7 +261,11 @@ def _with_statistics(batches, text_at: int):
 
 
 def keep(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; texts are read once and not shuffled."""
+    """The rows of ``docs`` that are kept, with all their columns; texts are read once and not shuffled.
+
+    Null and empty texts go, repeated rows stay or go together, an empty table stays empty, and
+    columns may have any names.
+    """
     session.ship_code(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(PREFIX + k, T.LongType()) for k in _COUNTS)])
     at = docs.columns.index(text_col)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.llm.kernel import tidy
 from tessera.llm.spans import Span, Taken, digest, joined
 
 KINDS = ("assign", "access", "hex")
@@ -131,25 +132,30 @@ def entropy_spans(text: str, base: list[Span], allow: re.Pattern, placeholders:
     return out
 
 
+@tidy
 def _scan(batches, allow: tuple[str, ...], placeholders: tuple[str, ...]):
     allowed, cut = compiled(allow), compiled(placeholders)
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
+        out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")}
         for text in batch.column(1).to_pylist():
             text = text or ""
             base = base_spans(text)
+            every = base + entropy_spans(text, base, allowed, cut)
             for k in KINDS:
                 out[f"n_{k}"].append(sum(s[0] == k for s in base))
             out["base_sha256"].append(digest(base, ORDER))
-            out["spans"].append(joined(base + entropy_spans(text, base, allowed, cut), ORDER))
+            out["spans"].append(joined(every, ORDER))
+            out["n_spans"].append(len(every))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items())], ["id", *out])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, placeholders: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
-    """One row for each row of ``docs``: id, base counts by kind, base_sha256, and all spans.
+    """One row for each row of ``docs``: id, base counts by kind, base_sha256, all spans and their number.
 
-    Null and empty texts have no spans (the hash is that of the empty string).
+    Null and empty texts have no spans (the hash is that of the empty string). Rows are judged
+    each on its own, so repeated rows and null ids change nothing; an empty table gives an empty
+    result, and other columns, whatever they are called, play no part.
     """
     session.ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(lambda it: _scan(it, allow, placeholders), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lambda it: _scan(it, allow, placeholders), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long").withColumnRenamed("id", id_col)
