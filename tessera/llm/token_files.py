@@ -29,13 +29,17 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.llm import repeats
-from tessera.llm.kernel import slices, strings
+from tessera.llm.kernel import slices, strings, tidy, turn_to
 
 MAGIC = b"TSRTOK01"
 TRAILER = struct.Struct("<8s8Q")
 SAMPLE = 256
+#: Bytes of texts in a shard, and shards at most: beyond, shards grow with the input instead.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 13
 #: Id appended to each document.
 END_ID = 1
+#: What a null id counts as among ids.
+NULL_KEY = -(1 << 63)
 #: Words whose ids a worker remembers, at most; beyond, it starts afresh.
 CACHE_WORDS = 400_000
 CACHE_STEMS = 700_000
@@ -234,6 +238,14 @@ class Encoder:
         plan: list[tuple[bytes, bytes, bytes]] = []
         wanted: set[bytes] = set()
         for w in new:
+            if self.splits and w.isalpha():  # ASCII letters
+                stem = w.lower()
+                if stem in stems:
+                    known[w] = stems[stem]
+                else:
+                    plan.append((w, stem, b""))
+                    wanted.add(stem)
+                continue
             stem, tail = w, b""
             if self.splits:
                 cut = w.rstrip(_PUNCTUATION)
@@ -241,6 +253,9 @@ class Encoder:
                     stem, tail = cut, w[len(cut) :]
                 if stem.isascii():
                     stem = stem.lower()
+            if stem in stems and (not tail or tail in stems):
+                known[w] = stems[stem] + stems[tail] if tail else stems[stem]
+                continue
             plan.append((w, stem, tail))
             wanted.add(stem)
             if tail:
@@ -262,19 +277,26 @@ def encoder_of(tokenizer_path: str, width: int) -> Encoder:
     return Encoder(tokenizer_path, width)
 
 
+@tidy
 def _tokenize(batches, tokenizer_path: str, width: int, edges: np.ndarray, end_id: int):
+    turn_to("token_files", encoder_of.cache_clear)
     encoder = encoder_of(tokenizer_path, width)
     end = np.array([end_id], f"<u{width}").tobytes()
     for batch in batches:
         data, offsets = strings(batch.column(1))
         ids = batch.column(0)
-        shard = np.searchsorted(edges, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+        keys = ids.fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
+        shard = np.searchsorted(edges, keys, "right").astype(np.int32)
+        before = np.searchsorted(edges, keys, "left").astype(np.int32)
         for a, b in slices(offsets):
             texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
             out = [x + end for x in encoder.encode(texts)]
+            for i in (a + np.flatnonzero(shard[a:b] - before[a:b] > 1)).tolist():  # an id of several shards: its rows go by their token ids
+                shard[i] = before[i] + 1 + (int.from_bytes(out[i - a][:8].ljust(8, b"\0"), "big") * int(shard[i] - before[i]) >> 64)
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(shard[a:b]), pa.array(out, pa.binary())], ["id", "shard", "ids"])
 
 
+@tidy
 def _write(batches, folder: str, width: int):
     writers: dict[int, Writer] = {}
     for batch in batches:
@@ -293,16 +315,22 @@ def _write(batches, folder: str, width: int):
 
 
 def shard_edges(docs: DataFrame, id_col: str, shards: int) -> np.ndarray:
-    """Ids that part the documents into some ``shards`` ranges of like count; only sizes depend on it."""
-    quantiles = docs.select(F.col(id_col).cast("double").alias("q")).where("q is not null").approxQuantile("q", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
-    return np.unique(np.array(quantiles, np.float64)).astype(np.int64)
+    """Ids that part the documents into ``shards`` ranges of like count; only sizes depend on it.
+
+    An id that very many rows have stands there several times, and takes as many shards. A
+    null id counts as NULL_KEY. The driver holds ``shards`` numbers, MOST_SHARDS at most.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).cast("double")
+    quantiles = docs.select(key.alias("q")).approxQuantile("q", [i / shards for i in range(1, shards)], 0.2 / shards) if shards > 1 else []
+    return np.clip(np.sort(np.array(quantiles, np.float64)), NULL_KEY, 2.0**63 - 1024).astype(np.int64)
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write the ids of all texts below ``folder`` and return the manifest: shard, path, n_docs, n_ids, start.
 
     Null and empty texts have the end id alone. Null ids come first; rows that share an id
-    are ordered by their ids. An empty table writes no file and has an empty manifest.
+    are ordered by their ids. An empty table writes no file and has an empty manifest. Columns
+    other than id and text play no part, whatever they are called.
     ``start`` counts the ids of all shards before. Shards are written under a temporary name
     and then moved, so a task that is run again, or twice, does no harm.
     """
@@ -312,17 +340,18 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_co
     session.ship_code(spark)
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     if shards is None:
-        shards = max(1, round(repeats.input_bytes(docs, text_col) / (16 << 20)))
+        shards = min(max(1, round(repeats.input_bytes(docs, text_col) / SHARD_BYTES)), MOST_SHARDS)
     folder = folder or session.scratch_path(spark, "tokens")
     edges = shard_edges(docs, id_col, shards)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tokens = source.mapInArrow(lambda it: _tokenize(it, tokenizer_path, width, edges, end_id), "id long, shard int, ids binary")
     placed = tokens.repartitionById(len(edges) + 1, "shard").sortWithinPartitions("shard", "id", "ids")
     manifest = session.materialize(placed.mapInArrow(lambda it: _write(it, folder, width), "shard int, path string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard, MOST_SHARDS at most
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 
 
+@tidy
 def _read(batches, most: int = 1 << 20):
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
