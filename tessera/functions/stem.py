@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,11 +140,42 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+def stem_array(words: pa.Array) -> pa.Array:
+    """Stems of an array, each distinct word of it looked up once."""
+    coded = words.dictionary_encode()
+    return pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
 def stem_column(word: Column) -> Column:
-    """Stems in Arrow batches: apply it to distinct terms, not to each token."""
+    """Stems in Arrow batches."""
 
-    @F.pandas_udf("string")
-    def apply(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else stem(w))
+    @F.arrow_udf("string")
+    def apply(words: pa.Array) -> pa.Array:
+        return stem_array(words)
 
     return apply(word)
+
+
+def stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(docid, term, tf) by stem, of rows that come document by document."""
+
+    def counted(rows: pa.Table) -> list[pa.RecordBatch]:
+        words = pa.concat_arrays(rows["term"].chunks)
+        rows = rows.set_column(1, "term", stem_array(words))
+        sums = rows.filter(pc.not_equal(rows["term"], "")).group_by(["docid", "term"]).aggregate([("tf", "sum")])
+        return sums.select(["docid", "term", "tf_sum"]).rename_columns(["docid", "term", "tf"]).to_batches()
+
+    held: list[pa.Table] = []  # the last document, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        last = rows["docid"][-1]
+        same = pc.fill_null(pc.equal(rows["docid"], last), False) if last.is_valid else pc.is_null(rows["docid"])
+        ended = rows.num_rows - pc.sum(same).as_py()
+        if ended or held and held[-1]["docid"][-1] != last:
+            yield from counted(pa.concat_tables([*held, rows.slice(0, ended)]))
+            held = []
+        held.append(rows.slice(ended))
+    if held:
+        yield from counted(pa.concat_tables(held))

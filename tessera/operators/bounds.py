@@ -1,45 +1,64 @@
-"""Upper bounds of scores: by term, by block of postings, and by range of document ids."""
+"""Upper bounds of scores: by term, by block of postings, and by range of document ids.
+
+A score is a posting's own part times the term's weight, which is nowhere below 0, so the greatest
+parts are found first and weighted then: no posting is joined with the lexicon for it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions.scoring import BM25, TFIDF, idf
-from tessera.operators.index import RANGE, Index
+from tessera.operators.index import RANGE, TASK_BYTES, Index
 
 #: Postings in a block.
 BLOCK = 15_000
 
 
-def scored(index: Index) -> DataFrame:
-    """Postings with both scores."""
-    n, avgdl = F.lit(index.n_docs), F.lit(index.avgdl)
-    joined = index.postings.join(index.lexicon.select("term", "df"), "term").withColumn("idf", idf(n, F.col("df")))
-    return joined.select("term", "docid", "tf", BM25()(F.col("tf"), F.col("idf"), F.col("dl"), avgdl).alias("bm25"), TFIDF()(F.col("tf"), F.col("idf")).alias("tfidf"))
+def greatest(index: Index) -> list[Column]:
+    """Aggregates of postings: their number and the greatest parts of both scores."""
+    one = F.lit(1.0)
+    bm25 = BM25()(F.col("tf"), one, F.col("dl"), F.lit(index.avgdl))
+    return [F.count("*").alias("n"), F.max(bm25).alias("bm25"), F.max(TFIDF()(F.col("tf"), one)).alias("tfidf")]
+
+
+def weighted_bounds(rows: DataFrame, index: Index, *columns: Column | str, ending: str = "ub") -> DataFrame:
+    """``columns`` and the greatest scores, from those parts and the term's ``df``."""
+    weight = idf(F.lit(index.n_docs), F.col("df"))
+    return rows.select(*columns, (F.col("bm25") * weight).alias(f"bm25_{ending}"), (F.col("tfidf") * weight).alias(f"tfidf_{ending}"))
 
 
 def term_sigma(index: Index) -> DataFrame:
-    """(term, df, bm25_sigma, tfidf_sigma): the greatest score of each term."""
-    return scored(index).groupBy("term").agg(F.count("*").alias("df"), F.max("bm25").alias("bm25_sigma"), F.max("tfidf").alias("tfidf_sigma"))
+    """(term, df, bm25_sigma, tfidf_sigma): the greatest score of each term; of a saved index, as saved."""
+    if "bm25_sigma" in index.lexicon.columns:
+        return index.lexicon.select("term", "df", "bm25_sigma", "tfidf_sigma")
+    rows = index.postings.groupBy("term").agg(*greatest(index)).withColumnRenamed("n", "df")
+    return weighted_bounds(rows, index, "term", "df", ending="sigma")
 
 
 def numbered(postings: DataFrame, width: int = RANGE) -> DataFrame:
-    """Postings with ``place``, their number in the term's list from 0.
+    """Postings with ``place``, their number in the term's list from 0, and ``df``.
 
     A frequent term is numbered range by range of ids; the counts of the ranges before are
     added, so no task sorts a whole list.
     """
+    n = session.parts(postings, TASK_BYTES)
     rows = postings.withColumn("r", F.expr(f"docid div {width}"))
-    sizes = rows.groupBy("term", "r").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("term").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = Window.partitionBy("term")
+    ahead = F.coalesce(F.sum("n").over(whole.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("term", "r").agg(F.count("*").alias("n")).select("term", "r", ahead.alias("ahead"), F.sum("n").over(whole).alias("df"))
     local = F.row_number().over(Window.partitionBy("term", "r").orderBy("docid")) - 1
-    return rows.withColumn("local", local).join(sizes.withColumn("ahead", ahead).drop("n"), ["term", "r"]).withColumn("place", (F.col("local") + F.col("ahead")).cast("long")).drop("r", "local", "ahead")
+    joined = rows.repartition(n, "term", "r").withColumn("local", local).join(sizes, ["term", "r"])
+    return joined.withColumn("place", (F.col("local") + F.col("ahead")).cast("long")).drop("r", "local", "ahead")
 
 
 def term_blocks(index: Index, block: int = BLOCK) -> DataFrame:
     """(term, block, n, bm25_ub, tfidf_ub, last_docid), ceil(df / block) rows for each term."""
-    return numbered(scored(index)).groupBy("term", F.expr(f"place div {block}").alias("block")).agg(F.count("*").alias("n"), F.max("bm25").alias("bm25_ub"), F.max("tfidf").alias("tfidf_ub"), F.max("docid").alias("last_docid"))
+    placed = numbered(index.postings.select("term", "docid", "tf", "dl"))
+    rows = placed.groupBy("term", F.expr(f"place div {block}").alias("block")).agg(*greatest(index), F.max("docid").alias("last_docid"), F.max("df").alias("df"))
+    return weighted_bounds(rows, index, "term", "block", "n", "last_docid").select("term", "block", "n", "bm25_ub", "tfidf_ub", "last_docid")
 
 
 def block_stats(index: Index, block: int = BLOCK) -> DataFrame:
@@ -49,5 +68,10 @@ def block_stats(index: Index, block: int = BLOCK) -> DataFrame:
 
 
 def range_bounds(index: Index, width: int) -> DataFrame:
-    """(term, rng, n, bm25_ub, tfidf_ub), rng being docid div width: aligned across terms."""
-    return scored(index).groupBy("term", F.expr(f"docid div {width}").alias("rng")).agg(F.count("*").alias("n"), F.max("bm25").alias("bm25_ub"), F.max("tfidf").alias("tfidf_ub"))
+    """(term, rng, n, bm25_ub, tfidf_ub), rng being docid div width: aligned across terms. Postings
+    are shuffled by term once, and each task holds a bounded number of them."""
+    if index.bounds is not None and index.width == width:
+        return index.bounds.select("term", "rng", "n", "bm25_ub", "tfidf_ub")
+    rows = index.postings.select("term", "docid", "tf", "dl").repartition(session.parts(index.postings, TASK_BYTES), "term")
+    rows = rows.groupBy("term", F.expr(f"docid div {width}").alias("rng")).agg(*greatest(index))
+    return weighted_bounds(rows.withColumn("df", F.sum("n").over(Window.partitionBy("term"))), index, "term", "rng", "n")

@@ -6,31 +6,41 @@ lexicon(term, df)
 and two numbers: documents and the sum of their lengths.
 
 A saved index is laid out by bucket of the term, in files sorted by term and document, and has
-score bounds besides: the greatest scores of each term in the lexicon, and those of each term
-in each range of ids in
+score bounds besides: the greatest scores of each term in the lexicon, and (unless its width is
+0) those of each term in each range of ids in
 
 bounds(term, rng, n, bm25_ub, tfidf_ub)
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.functions.normalize import NormalizerConfig, is_term, words
-from tessera.functions.stem import stem_column
+from tessera.functions.stem import stem_column, stem_counts
 
 #: Bytes of postings in a bucket and in a file of a saved index, and buckets at most.
-BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 64 << 20, 32 << 20, 1 << 14
+BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 64 << 20, 16 << 20, 1 << 14
+#: Bytes of texts, and of a saved index's postings, that a task takes after a shuffle.
+TEXT_BYTES, TASK_BYTES = 4 << 20, 8 << 20
 #: Document ids in a range that bounds are saved for.
 WIDTH = 1024
 #: Document ids in a range that is numbered on its own.
 RANGE = 1 << 16
 
 
+#: Tables of a saved index that are laid out by bucket.
+SCHEMAS = {
+    "postings": "term string, docid long, tf long, dl long, term_bucket int",
+    "lexicon": "term string, df long, bm25_sigma double, tfidf_sigma double, term_bucket int",
+    "bounds": "term string, rng long, n long, bm25_ub double, tfidf_ub double, term_bucket int",
+}
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
@@ -69,31 +79,36 @@ def tokens(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_co
     return exploded.where(is_term(F.col("term"), config))
 
 
-def stemmed(counts: DataFrame, keys: list[str], value: str | None = None) -> DataFrame:
-    """Replace terms by their stems: each distinct term is stemmed once and joined back."""
-    session.ship_code(counts.sparkSession)
-    stems = counts.select("term").distinct().withColumn("stem", stem_column(F.col("term")))
-    joined = counts.join(stems, "term").where("stem <> ''").select(*keys, F.col("stem").alias("term"), *([value] if value else []))
-    if value is None:
-        return joined
-    return joined.groupBy(*keys, "term").agg(F.sum(value).alias(value))
+def stemmed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace terms by their stems, row by row."""
+    session.ship_code(rows.sparkSession)
+    return rows.select(*keys, stem_column(F.col("term")).alias("term")).where("term <> ''")
 
 
 def frequencies(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_col: str = "docid", text_col: str = "text") -> DataFrame:
-    """(docid, term, tf). Occurrences are counted before the shuffle."""
-    counts = tokens(docs, config, id_col, text_col).groupBy("docid", "term").agg(F.count("*").alias("tf"))
-    return stemmed(counts, ["docid"], "tf") if config.stem else counts
+    """(docid, term, tf), all of a document in one partition. Only the texts are shuffled: a
+    document's terms are counted, and stemmed, in the task that splits it."""
+    session.small_splits(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("docid"), F.col(text_col).alias("text"))
+    texts = texts.repartition(session.parts(docs, TEXT_BYTES), "docid")
+    counts = tokens(texts, config).groupBy("docid", "term").agg(F.count("*").alias("tf"))
+    if not config.stem:
+        return counts
+    session.ship_code(docs.sparkSession)
+    return counts.sortWithinPartitions("docid").mapInArrow(stem_counts, "docid long, term string, tf long")
 
 
 def build(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_col: str = "docid", text_col: str = "text", docno_col: str | None = None) -> Index:
-    """Index a collection; ids must be unique. Tables are written to the scratch folder."""
+    """Index a collection; ids must be unique. Postings and documents are written to the scratch
+    folder, terms are counted when they are asked for."""
     docno = F.col(docno_col) if docno_col else F.col(id_col).cast("string")
-    tf = session.materialize(frequencies(docs, config, id_col, text_col), "frequencies")
-    lengths = tf.groupBy("docid").agg(F.sum("tf").alias("dl"))
+    tf = frequencies(docs, config, id_col, text_col).where("docid IS NOT NULL")
+    lengthened = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("docid")))  # in the same tasks
+    postings = session.materialize(lengthened.select("term", "docid", "tf", "dl"), "postings")
+    lengths = postings.groupBy("docid").agg(F.max("dl").alias("dl"))
     doc_index = docs.select(F.col(id_col).cast("long").alias("docid"), docno.alias("docno")).join(lengths, "docid", "left").select("docid", "docno", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
     doc_index = session.materialize(doc_index, "doc_index")
-    postings = session.materialize(tf.join(lengths, "docid").select("term", "docid", "tf", "dl"), "postings")
-    lexicon = session.materialize(postings.groupBy("term").agg(F.count("*").alias("df")), "lexicon")
+    lexicon = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, total = doc_index.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return Index(postings, doc_index, lexicon, n, total, config)
 
@@ -102,22 +117,29 @@ def save(index: Index, path: str, buckets: int | None = None, width: int = WIDTH
     """Write the tables below ``path``, postings, lexicon and bounds by bucket of the term.
 
     Files are cut by ranges of bucket, term and document, so a term that is in most documents
-    fills many of them, and no task sorts its whole list.
+    fills many of them, and no task sorts its whole list. Greatest scores are taken from the
+    postings as they are then laid out, where a term's rows are side by side. ``width`` 0
+    leaves the bounds by range out.
     """
     from tessera.operators.bounds import range_bounds, term_sigma  # which read an Index
 
     size = session.input_bytes(index.postings)
     buckets = buckets or min(max(1 << (int(size / BUCKET_BYTES)).bit_length(), 16), MOST_BUCKETS)
-    files = max(int(size / FILE_BYTES) + 1, 8)
 
     def write(table: DataFrame, name: str, *order: str) -> None:
         table = table.withColumn("term_bucket", term_bucket(buckets))
-        table.repartitionByRange(files, "term_bucket", *order).sortWithinPartitions("term_bucket", *order).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/{name}")
+        table.repartitionByRange(max(int(session.input_bytes(table) / FILE_BYTES) + 1, 8), "term_bucket", *order).sortWithinPartitions("term_bucket", *order).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/{name}")
 
     write(index.postings, "postings", "term", "docid")
     index.doc_index.write.mode("overwrite").parquet(f"{path}/doc_index")
-    write(session.materialize(term_sigma(index), "sigma"), "lexicon", "term")
-    write(session.materialize(range_bounds(index, width), "bounds"), "bounds", "term", "rng")
+    laid = replace(index, postings=index.postings.sparkSession.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings"), bounds=None, width=0)
+    sigma = session.materialize(term_sigma(laid), "sigma")
+    write(sigma, "lexicon", "term")
+    session.drop(sigma)
+    if width:
+        ranges = session.materialize(range_bounds(laid, width), "bounds")
+        write(ranges, "bounds", "term", "rng")
+        session.drop(ranges)
     c = index.config
     index.metadata().withColumns({"buckets": F.lit(buckets), "width": F.lit(width), "fix_encoding": F.lit(c.fix_encoding), "latin1_case": F.lit(c.latin1_case), "stop_words": F.lit(c.stop_words), "stem": F.lit(c.stem)}).write.mode("overwrite").parquet(f"{path}/metadata")
     return load(index.postings.sparkSession, path)
@@ -126,14 +148,9 @@ def save(index: Index, path: str, buckets: int | None = None, width: int = WIDTH
 def load(spark: SparkSession, path: str) -> Index:
     m = spark.read.parquet(f"{path}/metadata").first()
     config = NormalizerConfig(m.fix_encoding, m.latin1_case, m.stop_words, m.stem)
-    by_bucket = "term_bucket int"
-    schemas = {
-        "postings": f"term string, docid long, tf long, dl long, {by_bucket}",
-        "lexicon": f"term string, df long, bm25_sigma double, tfidf_sigma double, {by_bucket}",
-        "bounds": f"term string, rng long, n long, bm25_ub double, tfidf_ub double, {by_bucket}",
-    }
-    tables = {k: spark.read.schema(v).parquet(f"{path}/{k}") for k, v in schemas.items()}  # an empty index has no files to read it from
-    return Index(tables["postings"], spark.read.parquet(f"{path}/doc_index"), tables["lexicon"], m.n_docs, m.doc_len_sum, config, m.buckets, tables["bounds"], m.width)
+    session.small_splits(spark)
+    tables = {k: spark.read.schema(v).parquet(f"{path}/{k}") for k, v in SCHEMAS.items() if m.width or k != "bounds"}  # an empty index has no files to read it from
+    return Index(tables["postings"], spark.read.parquet(f"{path}/doc_index"), tables["lexicon"], m.n_docs, m.doc_len_sum, config, m.buckets, tables.get("bounds"), m.width)
 
 
 def with_docids(docs: DataFrame, first: int = 1) -> DataFrame:
@@ -150,7 +167,9 @@ def with_docids(docs: DataFrame, first: int = 1) -> DataFrame:
 
 def local_lexicon(index: Index, docs_per_part: int) -> DataFrame:
     """(part, term, df): document frequencies in each range of ids."""
-    return index.postings.groupBy(F.expr(f"docid div {docs_per_part}").alias("part"), "term").agg(F.count("*").alias("df"))
+    rows = index.postings.select(F.expr(f"docid div {docs_per_part}").alias("part"), "term")
+    rows = rows.repartition(session.parts(index.postings, TASK_BYTES), "term", "part")  # as many tasks as the input asks for
+    return rows.groupBy("part", "term").agg(F.count("*").alias("df"))
 
 
 def size_parts(docs: DataFrame, limit: int, id_col: str = "docid", docno_col: str | None = None, text_col: str = "text") -> DataFrame:

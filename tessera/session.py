@@ -14,15 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Settings for Python workers, where the session doesn't choose its own: batches of long texts stay small.
 WORKER_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: For reading, likewise: what a task holds before a shuffle grows with its split.
+SCAN_SETTINGS = {"spark.sql.files.maxPartitionBytes": str(16 << 20)}
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
+def _settle(spark: SparkSession, settings: dict[str, str]) -> None:
+    for key, value in settings.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
+def small_splits(spark: SparkSession) -> None:
+    _settle(spark, SCAN_SETTINGS)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers, whatever path the driver took it from."""
     sc = spark.sparkContext
-    for key, value in WORKER_SETTINGS.items():
-        if not sc.getConf().contains(key):
-            spark.conf.set(key, value)
+    _settle(spark, WORKER_SETTINGS)
     if getattr(sc, "_tessera_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="tessera-code-")
@@ -95,5 +105,14 @@ def input_bytes(df: DataFrame) -> float:
     return size if size < 1 << 60 else 0.0  # Spark's own stand-in for an unknown size is above
 
 
+def parts(df: DataFrame, each: int) -> int:
+    """Partitions for a shuffle of ``df``'s rows: one for each so many bytes of its files, so that
+    what a task holds doesn't grow with the input, and one for each core at least."""
+    spark = df.sparkSession
+    least = spark.sparkContext.defaultParallelism
+    size = input_bytes(df)
+    return max(int(size / each) + 1, least) if size else max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
