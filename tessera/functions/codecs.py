@@ -7,7 +7,12 @@ serve the index tables; these exist to read and write such streams.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +113,114 @@ vbyte_encode_column = _column(lambda v: vbyte_encode([int(x) for x in v]), "bina
 vbyte_decode_column = _column(vbyte_decode, "array<bigint>")
 unary_encode_column = _column(lambda v: unary_encode([int(x) for x in v]), "binary")
 unary_decode_column = _column(unary_decode, "array<bigint>")
+
+
+# Lists of a whole index: rows come in order of list, and a batch of lists is coded at once.
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def vbyte_encode_lists(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all lists, and each list's number of bytes. Numbers below 0 are read as 64 bits."""
+    n = np.ones(len(values), np.int64)
+    for shift in range(7, 63, 7):
+        n += values >> shift > 0
+    n[values < 0] = 10
+    part = _within(n)
+    value = np.repeat(values, n)
+    last = np.repeat(n, n) - 1
+    data = (value >> np.minimum(7 * part, 63) & 127 | np.where(part < last, 128, 0)).astype(np.uint8)
+    ends = np.cumsum(n)[np.cumsum(sizes) - 1]
+    return data, np.diff(ends, prepend=0)
+
+
+def vbyte_decode_lists(data: np.ndarray, n_bytes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Values of all lists; a value never goes over the end of its list."""
+    n = np.diff(np.flatnonzero(data < 128), prepend=-1)
+    return np.bitwise_or.reduceat((data & 127).astype(np.int64) << 7 * _within(n), np.cumsum(n) - n)
+
+
+def unary_encode_lists(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.cumsum(sizes) - sizes
+    n_bits = np.add.reduceat(values, starts)
+    n_bytes = (n_bits + 7) // 8
+    shift = np.repeat(8 * (np.cumsum(n_bytes) - n_bytes) - (np.cumsum(n_bits) - n_bits), sizes)  # what padding moves a list by
+    bits = np.ones(8 * n_bytes.sum(), np.uint8)
+    bits[np.cumsum(values) + shift - 1] = 0
+    pad = 8 * n_bytes - n_bits
+    bits[np.repeat(8 * np.cumsum(n_bytes) - pad, pad) + _within(pad)] = 0
+    return np.packbits(bits, bitorder="little"), n_bytes
+
+
+def unary_decode_lists(data: np.ndarray, n_bytes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first ``sizes`` values of each list; what pads its last byte reads as more."""
+    zeros = np.flatnonzero(np.unpackbits(data, bitorder="little") == 0)
+    starts = 8 * (np.cumsum(n_bytes) - n_bytes)
+    at = np.repeat(np.searchsorted(zeros, starts), sizes) + _within(sizes)
+    first = np.zeros(len(at), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    before = np.where(first, np.repeat(starts, sizes) - 1, zeros[at - 1])
+    return zeros[at] - before
+
+
+CODED = "term string, rng long, n_bytes long, code string, decoded string"
+
+
+def coded_lists(encode: Callable, decode: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over (term, rng, value) in order of list: each list's code in hexadecimal
+    digits and what it decodes to, ``CODED``."""
+
+    def coded(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(starts, append=rows.num_rows)
+        values = rows["value"].to_numpy().astype(np.int64)
+        data, n_bytes = encode(values, sizes)
+        digits = data.tobytes().hex().upper().encode()
+        ends = np.concatenate([[0], np.cumsum(n_bytes)])
+        code = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(2 * ends.astype(np.int64)), pa.py_buffer(digits)).cast(pa.string())
+        read = pa.array(decode(data, n_bytes, sizes), pa.int64()).cast(pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, rows.num_rows), pa.int32()), read)
+        firsts = rows.select(["term", "rng"]).take(pa.array(starts)).combine_chunks()
+        columns = [*(pa.concat_arrays(c.chunks) for c in firsts.columns), pa.array(n_bytes, pa.int64()), code, pc.binary_join(lists, ",")]
+        return pa.RecordBatch.from_arrays(columns, ["term", "rng", "n_bytes", "code", "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the last list, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            starts = _starts(rows)
+            if held and _key(held[-1]) == _key(rows) and len(starts) == 1:
+                held.append(rows)
+                continue
+            if held:
+                whole = pa.concat_tables([*held, rows.slice(0, starts[-1])])
+                yield coded(whole, _starts(whole))
+            elif starts[-1]:
+                yield coded(rows.slice(0, starts[-1]), starts[:-1])
+            held = [rows.slice(starts[-1])]
+        if held:
+            whole = pa.concat_tables(held)
+            yield coded(whole, _starts(whole))
+
+    return run
+
+
+def _key(rows: pa.Table) -> tuple:
+    return rows["term"][0].as_py(), rows["rng"][0].as_py()
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where each list begins."""
+    n = rows.num_rows - 1
+    new = np.zeros(n, bool)
+    for c in ("term", "rng"):
+        new |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, n)).to_numpy()
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+vbyte_lists = coded_lists(vbyte_encode_lists, vbyte_decode_lists)
+unary_lists = coded_lists(unary_encode_lists, unary_decode_lists)
