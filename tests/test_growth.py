@@ -153,3 +153,8 @@ def test_bounds_by_range_join_nothing(spark, folder):
     same_as_sql(spark, folder, "range_bounds")
     df = catalogue.QUERIES["range_bounds"](spark, folder)
     assert len(shuffles(df)) == 1 and "Join" not in plan_of(df)
+
+
+def test_blocks_are_weighted_last(spark, folder):
+    same_as_sql(spark, folder, "term_blocks")
+    assert plan_of(catalogue.QUERIES["term_blocks"](spark, folder)).count("Join ") == 1  # counts of the ranges before
