@@ -158,3 +158,13 @@ def test_bounds_by_range_join_nothing(spark, folder):
 def test_blocks_are_weighted_last(spark, folder):
     same_as_sql(spark, folder, "term_blocks")
     assert plan_of(catalogue.QUERIES["term_blocks"](spark, folder)).count("Join ") == 1  # counts of the ranges before
+
+
+@pytest.mark.parametrize("name", ["local_lexicon", "range_bounds", "unary_round_trip", "term_blocks"])
+def test_tasks_grow_in_number(spark, folder, monkeypatch, name):
+    index = catalogue.opened(spark, folder)
+    for module in (ix, bounds):
+        monkeypatch.setattr(module, "TASK_BYTES", int(session.input_bytes(index.postings) / 40))
+    same_as_sql(spark, folder, name)
+    counts = [int(x) for x in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan_of(catalogue.QUERIES[name](spark, folder)))]
+    assert counts == [41]
