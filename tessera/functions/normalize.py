@@ -85,13 +85,18 @@ def fix_encoding(text: Column) -> Column:
     return F.when(looks_double_encoded(text), F.coalesce(F.try_validate_utf8(bytes_.cast("string")), text)).otherwise(text)
 
 
-def words(text: Column, config: NormalizerConfig = NormalizerConfig()) -> Column:
-    """The words of a text, empty ones among them, in an array: one pass of ``translate``, one split."""
+def normal(text: Column, config: NormalizerConfig = NormalizerConfig()) -> Column:
+    """A text in lower case whose words are separated by spaces: one pass of ``translate``."""
     if config.fix_encoding:
         text = fix_encoding(text)
     upper, lower = (ASCII_UPPER + LATIN1_UPPER, ASCII_LOWER + LATIN1_LOWER) if config.latin1_case else (ASCII_UPPER, ASCII_LOWER)
     blank = PUNCTUATION + "".join(c for c in WHITE if c not in PUNCTUATION and c != " ")
-    return F.split(F.translate(text, blank + upper, " " * len(blank) + lower), " ")
+    return F.translate(text, blank + upper, " " * len(blank) + lower)
+
+
+def words(text: Column, config: NormalizerConfig = NormalizerConfig()) -> Column:
+    """The words of a text, empty ones among them, in an array."""
+    return F.split(normal(text, config), " ")
 
 
 def is_term(word: Column, config: NormalizerConfig = NormalizerConfig()) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.normalize import MAX_TERM_BYTES, NormalizerConfig, stop_words
+
 _VOWELS = frozenset("aeiouy")
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 _LI = frozenset("cdeghkmnrt")
@@ -27,20 +31,20 @@ _STEP2 = (
 )
 _STEP3 = (("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ative", ""), ("ical", "ic"), ("ness", ""), ("ful", ""))
 _STEP4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
+_ENDS2, _ENDS3, _ENDS1B = tuple(s for s, _ in _STEP2), tuple(s for s, _ in _STEP3), ("eedly", "eed", "ingly", "edly", "ing", "ed")
+_PREFIXES = ("gener", "commun", "arsen")
+#: A vowel and what isn't one.
+_SYLLABLE = re.compile("[aeiouy][^aeiouy]").search
 
 
 def _regions(w: str) -> tuple[int, int]:
     """Where R1 and R2 begin."""
 
     def after(start: int) -> int:
-        for i in range(start + 1, len(w)):
-            if w[i] not in _VOWELS and w[i - 1] in _VOWELS:
-                return i + 1
-        return len(w)
-
-    r1 = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
-    if r1 is None:
-        r1 = after(0)
+        found = _SYLLABLE(w, start)
+        return found.end() if found else len(w)
+
+    r1 = next((len(p) for p in _PREFIXES if w.startswith(p)), 0) if w.startswith(_PREFIXES) else after(0)
     return r1, after(r1)
 
 
@@ -52,10 +56,12 @@ def _short_syllable(w: str) -> bool:
 
 
 def _has_vowel(w: str) -> bool:
-    return any(c in _VOWELS for c in w)
+    return not _VOWELS.isdisjoint(w)
 
 
 def _step1b(w: str, r1: int) -> str:
+    if not w.endswith(_ENDS1B):
+        return w
     for s in ("eedly", "eed"):
         if w.endswith(s):
             return w[: -len(s)] + "ee" if len(w) - len(s) >= r1 else w
@@ -87,17 +93,19 @@ def stem(word: str) -> str:
     if not w:
         return w
     # A y at the start, or after a vowel, is a consonant.
-    marked = list(w)
-    for i, c in enumerate(marked):
-        if c == "y" and (i == 0 or marked[i - 1] in _VOWELS):
-            marked[i] = "Y"
-    w = "".join(marked)
+    if "y" in w:
+        marked = list(w)
+        for i, c in enumerate(marked):
+            if c == "y" and (i == 0 or marked[i - 1] in _VOWELS):
+                marked[i] = "Y"
+        w = "".join(marked)
     r1, r2 = _regions(w)
 
-    for s in ("'s'", "'s", "'"):
-        if w.endswith(s):
-            w = w[: -len(s)]
-            break
+    if "'" in w:
+        for s in ("'s'", "'s", "'"):
+            if w.endswith(s):
+                w = w[: -len(s)]
+                break
 
     if w.endswith("sses"):
         w = w[:-2]
@@ -112,7 +120,7 @@ def stem(word: str) -> str:
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
         w = w[:-1] + "i"
 
-    for s, to in _STEP2:
+    for s, to in _STEP2 if w.endswith(_ENDS2) else ():
         if w.endswith(s):
             if len(w) - len(s) >= r1:
                 if s == "ogi":
@@ -122,12 +130,12 @@ def stem(word: str) -> str:
                 else:
                     w = w[: -len(s)] + to
             break
-    for s, to in _STEP3:
+    for s, to in _STEP3 if w.endswith(_ENDS3) else ():
         if w.endswith(s):
             if len(w) - len(s) >= (r2 if s == "ative" else r1):
                 w = w[: -len(s)] + to
             break
-    for s in _STEP4:
+    for s in _STEP4 if w.endswith(_STEP4) else ():
         if w.endswith(s):
             if len(w) - len(s) >= r2 and (s != "ion" or w[-4:-3] in ("s", "t")):
                 w = w[: -len(s)]
@@ -156,26 +164,89 @@ def stem_column(word: Column) -> Column:
     return apply(word)
 
 
-def stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(docid, term, tf) by stem, of rows that come document by document."""
-
-    def counted(rows: pa.Table) -> list[pa.RecordBatch]:
-        words = pa.concat_arrays(rows["term"].chunks)
-        rows = rows.set_column(1, "term", stem_array(words))
-        sums = rows.filter(pc.not_equal(rows["term"], "")).group_by(["docid", "term"]).aggregate([("tf", "sum")])
-        return sums.select(["docid", "term", "tf_sum"]).rename_columns(["docid", "term", "tf"]).to_batches()
+def split_words(batches: Iterator[pa.RecordBatch], config: NormalizerConfig) -> Iterator[pa.RecordBatch]:
+    """(docid, term, tf = 1), a row for each term, of normalised texts (docid, text). Each distinct word
+    of a batch is looked at once."""
+    stop = pa.array(stop_words() if config.stop_words else [], pa.string())
+    for batch in batches:
+        lists = pc.split_pattern(batch.column("text"), " ")
+        words = lists.flatten().dictionary_encode()
+        docs = batch.column("docid").take(pc.list_parent_indices(lists))
+        each, size = words.dictionary, pc.binary_length(words.dictionary)
+        good = pc.and_(pc.and_(pc.greater(size, 0), pc.less_equal(size, MAX_TERM_BYTES)), pc.invert(pc.is_in(each, stop)))
+        rows = pa.RecordBatch.from_arrays([docs, words, pa.array(np.ones(len(words), np.int64))], ["docid", "term", "tf"])
+        yield rows.filter(good.take(words.indices))
+
+
+def _starts(ids: pa.Array) -> np.ndarray:
+    """For each row, whether another document begins."""
+    values, null = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_null(ids).to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], (values[1:] != values[:-1]) | (null[1:] != null[:-1])])
+
+
+def _counted(rows: pa.RecordBatch, stemming: bool) -> pa.RecordBatch:
+    """Sums by document and term of rows that come document by document."""
+    words, docs = rows.column("term").dictionary_encode(), rows.column("docid")
+    terms, code = words.dictionary, words.indices
+    if stemming:
+        stems = pa.array([stem(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+        terms, code = stems.dictionary, stems.indices.take(code)
+    code = code.to_numpy().astype(np.int64)
+    key = np.cumsum(_starts(docs)) * len(terms) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    tf, at = np.add.reduceat(rows.column("tf").to_numpy()[order], first), order[first]
+    sums = pa.RecordBatch.from_arrays([docs.take(pa.array(at)), terms.take(pa.array(code[at])), pa.array(tf, pa.int64())], ["docid", "term", "tf"])
+    return sums.filter(pc.not_equal(sums.column("term"), ""))
+
+
+def _lengthened(rows: pa.Table) -> list[pa.RecordBatch]:
+    """Rows of whole documents, with the sum ``dl`` of each one's ``tf``."""
+    if not rows:
+        return []
+    first = np.flatnonzero(_starts(rows["docid"].combine_chunks()))
+    sums = np.add.reduceat(rows["tf"].to_numpy(), first)
+    return rows.append_column("dl", pa.array(np.repeat(sums, np.diff(first, append=rows.num_rows)))).combine_chunks().to_batches()
+
+
+def stem_counts(batches: Iterator[pa.RecordBatch], stemming: bool = True) -> Iterator[pa.RecordBatch]:
+    """(docid, term, tf, dl) by stem, or by term, of rows that come document by document."""
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        if len(tables) == 1:
+            return tables[0]
+        sums = pa.concat_tables(tables).group_by(["docid", "term"]).aggregate([("tf", "sum")])
+        return sums.select(["docid", "term", "tf_sum"]).rename_columns(["docid", "term", "tf"])
 
     held: list[pa.Table] = []  # the last document, which may go on in the next batch
     for batch in batches:
-        if not batch.num_rows:
+        rows = pa.Table.from_batches([_counted(batch, stemming)]) if batch.num_rows else None
+        if not rows:
             continue
-        rows = pa.Table.from_batches([batch])
-        last = rows["docid"][-1]
-        same = pc.fill_null(pc.equal(rows["docid"], last), False) if last.is_valid else pc.is_null(rows["docid"])
-        ended = rows.num_rows - pc.sum(same).as_py()
-        if ended or held and held[-1]["docid"][-1] != last:
-            yield from counted(pa.concat_tables([*held, rows.slice(0, ended)]))
-            held = []
-        held.append(rows.slice(ended))
+        if held and held[0]["docid"][0] == rows["docid"][0]:
+            n = _first_run(rows["docid"])
+            held.append(rows.slice(0, n))
+            rows = rows.slice(n)
+            if not rows:
+                continue
+        if held:
+            yield from _lengthened(summed(held))
+        last = int(np.flatnonzero(_starts(rows["docid"].combine_chunks()))[-1])
+        yield from _lengthened(rows.slice(0, last))
+        held = [rows.slice(last)]
     if held:
-        yield from counted(pa.concat_tables(held))
+        yield from _lengthened(summed(held))
+
+
+def _first_run(ids: pa.ChunkedArray) -> int:
+    """How many rows the first document has."""
+    return int(np.append(np.flatnonzero(_starts(ids.combine_chunks())), len(ids))[1])
+
+
+def text_counts(config: NormalizerConfig) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(docid, term, tf, dl), by stem if terms are stemmed, of normalised texts (docid, text) in order of documents."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return stem_counts(split_words(batches, config), config.stem)
+
+    return counts

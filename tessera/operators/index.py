@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.functions.normalize import NormalizerConfig, is_term, words
-from tessera.functions.stem import stem_column, stem_counts
+from tessera.functions.normalize import NormalizerConfig, is_term, normal, words
+from tessera.functions.stem import stem_column, text_counts
 
 #: Bytes of postings in a bucket and in a file of a saved index, and buckets at most.
 BUCKET_BYTES, FILE_BYTES, MOST_BUCKETS = 64 << 20, 16 << 20, 1 << 14
@@ -86,25 +86,22 @@ def stemmed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_col: str = "docid", text_col: str = "text") -> DataFrame:
-    """(docid, term, tf), all of a document in one partition. Only the texts are shuffled: a
-    document's terms are counted, and stemmed, in the task that splits it."""
+    """(docid, term, tf, dl), all of a document in one partition. Only the texts are shuffled: the
+    task that has a document splits it and counts (and stems) its terms, in Arrow batches of texts
+    sorted by document. No row is made for each word."""
     session.small_splits(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("docid"), F.col(text_col).alias("text"))
-    texts = texts.repartition(session.parts(docs, TEXT_BYTES), "docid")
-    counts = tokens(texts, config).groupBy("docid", "term").agg(F.count("*").alias("tf"))
-    if not config.stem:
-        return counts
     session.ship_code(docs.sparkSession)
-    return counts.sortWithinPartitions("docid").mapInArrow(stem_counts, "docid long, term string, tf long")
+    texts = docs.select(F.col(id_col).cast("long").alias("docid"), F.col(text_col).alias("text"))
+    texts = texts.repartition(session.parts(docs, TEXT_BYTES), "docid").sortWithinPartitions("docid")
+    return texts.select("docid", normal(F.col("text"), config).alias("text")).mapInArrow(text_counts(config), "docid long, term string, tf long, dl long")
 
 
 def build(docs: DataFrame, config: NormalizerConfig = NormalizerConfig(), id_col: str = "docid", text_col: str = "text", docno_col: str | None = None) -> Index:
     """Index a collection; ids must be unique. Postings and documents are written to the scratch
     folder, terms are counted when they are asked for."""
     docno = F.col(docno_col) if docno_col else F.col(id_col).cast("string")
-    tf = frequencies(docs, config, id_col, text_col).where("docid IS NOT NULL")
-    lengthened = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("docid")))  # in the same tasks
-    postings = session.materialize(lengthened.select("term", "docid", "tf", "dl"), "postings")
+    tf = frequencies(docs.where(F.col(id_col).cast("long").isNotNull()), config, id_col, text_col)
+    postings = session.materialize(tf.select("term", "docid", "tf", "dl"), "postings")
     lengths = postings.groupBy("docid").agg(F.max("dl").alias("dl"))
     doc_index = docs.select(F.col(id_col).cast("long").alias("docid"), docno.alias("docno")).join(lengths, "docid", "left").select("docid", "docno", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
     doc_index = session.materialize(doc_index, "doc_index")
@@ -127,8 +124,8 @@ def save(index: Index, path: str, buckets: int | None = None, width: int = WIDTH
     buckets = buckets or min(max(1 << (int(size / BUCKET_BYTES)).bit_length(), 16), MOST_BUCKETS)
 
     def write(table: DataFrame, name: str, *order: str) -> None:
-        table = table.withColumn("term_bucket", term_bucket(buckets))
-        table.repartitionByRange(max(int(session.input_bytes(table) / FILE_BYTES) + 1, 8), "term_bucket", *order).sortWithinPartitions("term_bucket", *order).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/{name}")
+        cut = table.repartitionByRange(max(int(session.input_bytes(table) / FILE_BYTES) + 1, 8), term_bucket(buckets), *order)
+        cut.withColumn("term_bucket", term_bucket(buckets)).sortWithinPartitions("term_bucket", *order).write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/{name}")
 
     write(index.postings, "postings", "term", "docid")
     index.doc_index.write.mode("overwrite").parquet(f"{path}/doc_index")
