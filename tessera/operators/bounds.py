@@ -6,6 +6,11 @@ parts are found first and weighted then: no posting is joined with the lexicon f
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +20,20 @@ from tessera.operators.index import RANGE, TASK_BYTES, Index
 
 #: Postings in a block.
 BLOCK = 15_000
+#: Columns of what ``cut_blocks`` returns.
+BLOCKS = ["term", "block", "n", "bm25", "tfidf", "last_docid", "df"]
+
+
+def parts_of_scores(index: Index) -> tuple[Column, Column]:
+    """A posting's own parts of both scores."""
+    one = F.lit(1.0)
+    return BM25()(F.col("tf"), one, F.col("dl"), F.lit(index.avgdl)), TFIDF()(F.col("tf"), one)
 
 
 def greatest(index: Index) -> list[Column]:
     """Aggregates of postings: their number and the greatest parts of both scores."""
-    one = F.lit(1.0)
-    bm25 = BM25()(F.col("tf"), one, F.col("dl"), F.lit(index.avgdl))
-    return [F.count("*").alias("n"), F.max(bm25).alias("bm25"), F.max(TFIDF()(F.col("tf"), one)).alias("tfidf")]
+    bm25, tfidf = parts_of_scores(index)
+    return [F.count("*").alias("n"), F.max(bm25).alias("bm25"), F.max(tfidf).alias("tfidf")]
 
 
 def weighted_bounds(rows: DataFrame, index: Index, *columns: Column | str, ending: str = "ub") -> DataFrame:
@@ -38,13 +50,13 @@ def term_sigma(index: Index) -> DataFrame:
     return weighted_bounds(rows, index, "term", "df", ending="sigma")
 
 
-def numbered(postings: DataFrame, width: int = RANGE) -> DataFrame:
+def numbered(postings: DataFrame, width: int = RANGE, n: int | None = None) -> DataFrame:
     """Postings with ``place``, their number in the term's list from 0, and ``df``.
 
     A frequent term is numbered range by range of ids; the counts of the ranges before are
-    added, so no task sorts a whole list.
+    added, so no task sorts a whole list. ``n``: tasks that postings are shuffled to.
     """
-    n = session.parts(postings, TASK_BYTES)
+    n = n or session.parts(postings, TASK_BYTES)
     rows = postings.withColumn("r", F.expr(f"docid div {width}"))
     whole = Window.partitionBy("term")
     ahead = F.coalesce(F.sum("n").over(whole.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -54,10 +66,81 @@ def numbered(postings: DataFrame, width: int = RANGE) -> DataFrame:
     return joined.withColumn("place", (F.col("local") + F.col("ahead")).cast("long")).drop("r", "local", "ahead")
 
 
+def cut_blocks(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of postings (piece, term, docid, bm25, tfidf) that come piece by piece, in order of term
+    and document. The first and the last list of a piece may go on in another, so their
+    postings are returned one by one, with neither ``block`` nor ``df``."""
+
+    def cut(rows: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        sizes = ends - starts
+        place = np.arange(ends[-1]) - np.repeat(starts, sizes)
+        apart = np.repeat(edge, sizes)
+        at = np.flatnonzero(apart | (place % block == 0))
+        until = np.append(at[1:], ends[-1])
+        best = [pa.array(np.maximum.reduceat(rows.column(c).to_numpy()[: ends[-1]], at)) for c in ("bm25", "tfidf")]
+        number = pa.array(place[at] // block, mask=apart[at])
+        df = pa.array(np.repeat(sizes, sizes)[at], mask=apart[at])
+        return pa.RecordBatch.from_arrays([rows.column("term").take(pa.array(at)), number, pa.array(until - at), *best, rows.column("docid").take(pa.array(until - 1)), df], BLOCKS)
+
+    def whole(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array([0]), np.array([rows.num_rows]), np.array([True])
+
+    def sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return (rows.slice(i, 1 << 16) for i in range(0, rows.num_rows, 1 << 16))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last list, which may go on in the next batch
+        opening = True  # whether it is the first of its piece
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and all(batch.column(c)[-1] == held[0].column(c)[0] for c in ("piece", "term")):
+                if opening:
+                    yield from sliced(cut(batch, *whole(batch)))
+                else:
+                    held.append(batch)  # nothing but that list
+                continue
+            rows = pa.concat_batches([*held, batch])
+            piece, term = rows.column("piece").to_numpy(), rows.column("term")
+            new_piece = piece[1:] != piece[:-1]
+            new = new_piece | pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero(new) + 1)
+            first = np.append(opening, new_piece[starts[1:] - 1])
+            if len(starts) > 1:
+                last = first[1:]  # before the first list of another piece
+                yield from sliced(cut(rows, starts[:-1], starts[1:], first[:-1] | last))
+            held, opening = [rows.slice(starts[-1])], bool(first[-1])
+        if held:
+            rows = pa.concat_batches(held)
+            yield from sliced(cut(rows, *whole(rows)))
+
+    return blocks
+
+
+def _blocks_in_place(index: Index, block: int) -> DataFrame:
+    """What ``cut_blocks`` finds in the files of a saved index, which hold lists in order. Written, as
+    both parts of it must come from the same reading."""
+    session.ship_code(index.postings.sparkSession)
+    bm25, tfidf = parts_of_scores(index)
+    piece = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("piece")
+    rows = index.postings.select(piece, "term", "docid", bm25.alias("bm25"), tfidf.alias("tfidf"))
+    return session.materialize(rows.mapInArrow(cut_blocks(block), "term string, block long, n long, bm25 double, tfidf double, last_docid long, df long"), "blocks")
+
+
 def term_blocks(index: Index, block: int = BLOCK) -> DataFrame:
-    """(term, block, n, bm25_ub, tfidf_ub, last_docid), ceil(df / block) rows for each term."""
-    placed = numbered(index.postings.select("term", "docid", "tf", "dl"))
-    rows = placed.groupBy("term", F.expr(f"place div {block}").alias("block")).agg(*greatest(index), F.max("docid").alias("last_docid"), F.max("df").alias("df"))
+    """(term, block, n, bm25_ub, tfidf_ub, last_docid), ceil(df / block) rows for each term. Of a
+    saved index only lists at either end of a file's part are shuffled."""
+    bm25, tfidf = parts_of_scores(index)
+    n = session.parts(index.postings, TASK_BYTES)
+    cut = _blocks_in_place(index, block) if index.buckets else None
+    if cut is None:
+        rows = index.postings.select("term", "docid", bm25.alias("bm25"), tfidf.alias("tfidf"))
+    else:
+        rows = cut.where("block IS NULL").select("term", F.col("last_docid").alias("docid"), "bm25", "tfidf")
+    rows = numbered(rows, n=n).groupBy("term", F.expr(f"place div {block}").alias("block"))
+    rows = rows.agg(F.count("*").alias("n"), F.max("bm25").alias("bm25"), F.max("tfidf").alias("tfidf"), F.max("docid").alias("last_docid"), F.max("df").alias("df"))
+    if cut is not None:
+        rows = rows.unionByName(cut.where("block IS NOT NULL"))
     return weighted_bounds(rows, index, "term", "block", "n", "last_docid").select("term", "block", "n", "bm25_ub", "tfidf_ub", "last_docid")
 
 

@@ -175,6 +175,32 @@ def test_blocks_are_weighted_last(spark, folder):
     assert plan_of(catalogue.QUERIES["term_blocks"](spark, folder)).count("Join ") == 1  # counts of the ranges before
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 1000])
+def test_blocks_are_cut_where_lists_lie(step):
+    r = random.Random(step)
+    pieces = [[("a", 3), ("b", 9), ("c", 4), ("d", 1), ("e", 5)], [("e", 6)], [("e", 2), ("f", 8), ("g", 3)], [("h", 2)], [("i", 1), ("j", 1), ("k", 1)]]
+    rows = [(p, t, i, r.random(), r.random()) for p, ts in enumerate(pieces) for t, n in ts for i in range(n)]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + step]), types)], ["piece", "term", "docid", "bm25", "tfidf"]) for i in range(0, len(rows), step)]
+    got = sorted(tuple(x.values()) for b in bounds.cut_blocks(4)(iter(batches)) for x in b.to_pylist() if x["block"] is not None)
+    want = []
+    for t in "bcdfj":
+        own = [x for x in rows if x[1] == t]
+        for b in range(0, len(own), 4):
+            part = own[b : b + 4]
+            want.append((t, b // 4, len(part), max(x[3] for x in part), max(x[4] for x in part), part[-1][2], len(own)))
+    assert got == want
+    apart = sorted((x["term"], x["last_docid"], x["bm25"], x["tfidf"]) for b in bounds.cut_blocks(4)(iter(batches)) for x in b.to_pylist() if x["block"] is None)
+    assert apart == sorted(x[1:] for x in rows if x[1] not in "bcdfj")
+
+
+def test_blocks_shuffle_few_lists(spark, folder):
+    index = catalogue.opened(spark, folder)
+    rows = bounds._blocks_in_place(index, 4)
+    assert 0 < rows.where("block IS NULL").count() < index.postings.count() / 1.2 and rows.where("block > 0").count()
+    assert {tuple(x) for x in bounds.term_blocks(ix.replace(index, buckets=0), 4).collect()} == {tuple(x) for x in bounds.term_blocks(index, 4).collect()}
+
+
 @pytest.mark.parametrize("name", ["local_lexicon", "range_bounds", "unary_round_trip", "term_blocks"])
 def test_tasks_grow_in_number(spark, folder, monkeypatch, name):
     index = catalogue.opened(spark, folder)
